@@ -10,7 +10,7 @@ from trawl.session import table
 
 QUERY_TERMS = ["the", "and", "theand"]
 _TERMS_SQL = "('the','and','theand')"
-TOKENS_SQL = r"""toks AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+'), x -> strlen(x) >= 3) AS toks FROM documents)"""
+TOKENS_SQL = r"""toks AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+'), lambda x: strlen(x) >= 3) AS toks FROM documents)"""
 POST_SQL = TOKENS_SQL + ", post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM toks) GROUP BY term, doc_id)"
 
 
