@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_substring_dedup",)
+MODULES = ("q_toxicity", "q_suffix_dedup", "q_substring_dedup", "q_quality")
 
 
 def _modules():
