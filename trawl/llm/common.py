@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 PIECE_BYTES = 2_000_000  # of text that a pass holds at once; one longer text is a piece of its own
+PIECE_ROWS = 50_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -78,7 +79,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PI
         data, off = texts_of(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < len(off) - 1:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            to = min(max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1), at + PIECE_ROWS)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
 

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from trawl.llm.common import _LOWER, U64, Powers, byte_codes, pieces, texts_of, words_of
 from trawl.llm.quality import _LETTER, held_out
 
-TRAIN_DOCS = 1500  # documents of each label to learn from, at most: those of least hash
+TRAIN_DOCS = {1: 1500, 0: 3000}  # documents of either label to learn from, at most: those of least hash
 BITS = 18  # of the table of emission weights of each feature
 PREFIXES = (4, 5, 6)
-STEPS = 40
+STEPS = 30
+RIDGE = 0.5  # pull of every weight towards 0, so that a word seen once or twice teaches little
 TAG = 0.5  # a word is tagged if its marginal is above this
 FLOOR = 0.1  # lesser marginals don't add up
 
@@ -53,7 +54,7 @@ def emission_slots(keys: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     after[np.concatenate([fresh[1:], [True]]) if len(fresh) else fresh] = U64(2)
     all_keys = np.concatenate([keys, [before * U64(3), after * U64(5)]])
     slot = (all_keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)
-    return slot.astype(np.int64) + (np.arange(len(all_keys)) << BITS)[:, None]
+    return slot.astype(np.int32) + (np.arange(len(all_keys), dtype=np.int32) << BITS)[:, None]
 
 
 def scan(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -119,18 +120,20 @@ class Field:
 
 def label_tokens(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Which words of toxic texts are toxic tokens: a key in at least 4 texts and 3 % of the toxic
-    ones, and 30 times as frequent among them as among the others."""
+    ones, and 30 times as frequent among them as among the others. Cores come first; prefixes are
+    counted over the words that no core has explained."""
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     out = np.zeros(len(owner), bool)
     for row in keys[: 1 + len(PREFIXES)]:
-        _, code = np.unique(row, return_inverse=True)
-        pair = np.unique(code.astype(np.int64) * len(toxic) + owner)
+        left = np.flatnonzero(~out)
+        _, code = np.unique(row[left], return_inverse=True)
+        pair = np.unique(code.astype(np.int64) * len(toxic) + owner[left])
         kind, doc = pair // len(toxic), pair % len(toxic)
         size = int(code.max(initial=-1)) + 1
         hits = np.bincount(kind, toxic[doc], size)
         others = np.bincount(kind, ~toxic[doc], size)
         telling = (hits >= max(4, 0.03 * n_toxic)) & (hits / n_toxic >= 30 * (others + 0.5) / n_clean)
-        out |= telling[code]
+        out[left[telling[code]]] = True
     return out & toxic[owner]
 
 
@@ -171,7 +174,7 @@ def fit(data: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> Field:
         xi = np.stack([np.full(len(prev), t[0, 0]), t[0, 1] * eb, prev * t[1, 0], prev * t[1, 1] * eb])
         grad[e_dim : e_dim + 4] = true_moves - (xi / xi.sum(0)).sum(1)
         grad[-1] = (y - gamma)[fresh].sum()
-        grad[:e_dim] -= 0.02 * params[:e_dim]
+        grad[:e_dim] -= RIDGE * params[:e_dim]
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         params = params + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
@@ -179,15 +182,15 @@ def fit(data: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> Field:
     return Field(params[:e_dim], params[e_dim : e_dim + 4].reshape(2, 2), float(params[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = TRAIN_DOCS) -> Field:
-    """The field from at most ``each`` whole labelled texts of either label that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: dict[int, int] = TRAIN_DOCS) -> Field:
+    """The field from at most ``most`` whole labelled texts of either label that aren't held out."""
     known = labels.select("doc_id", F.col(label).alias("y")).where(f"{label} IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.where(~held_out(F.col("doc_id")))
     pick = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
         pick = part if pick is None else pick.union(part)
-    # 2 * each rows at most: the broadcast is bounded
+    # a bounded number of rows: so is the broadcast
     got = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow().combine_chunks()
     if not got.num_rows:
         return Field(np.zeros((len(PREFIXES) + 4) << BITS), np.zeros((2, 2)), -3.0)
