@@ -26,8 +26,8 @@ def slots(items: np.ndarray, row: int, width_bits: int = WIDTH_BITS) -> np.ndarr
     return (mixed(items.astype(U64), 100 + row) >> U64(64 - width_bits)).astype(np.int64)
 
 
-def repeated(df: DataFrame, items_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], width_bits: int = WIDTH_BITS, depth: int = DEPTH) -> np.ndarray:
-    """Bits [row][slot] that are set where an estimate is two or more.
+def repeated(df: DataFrame, items_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], width_bits: int = WIDTH_BITS, depth: int = DEPTH, least: int = 2) -> np.ndarray:
+    """Bits [row][slot] that are set where an estimate is ``least`` (1 or 2) or more.
 
     ``items_of`` turns the batches of a partition into arrays of 64-bit items.
     """
@@ -61,7 +61,7 @@ def repeated(df: DataFrame, items_of: Callable[[Iterator[pa.RecordBatch]], Itera
                 else:
                     found[b] = [one.copy(), two.copy()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.int32()), pa.array([zlib.compress(x[1].tobytes(), 1) for x in found.values()], pa.binary())], names=["block", "planes"]
+            [pa.array(list(found), pa.int32()), pa.array([zlib.compress(x[least - 1].tobytes(), 1) for x in found.values()], pa.binary())], names=["block", "planes"]
         )
 
     parts = df.mapInArrow(build, "block int, planes binary")
@@ -74,7 +74,7 @@ def repeated(df: DataFrame, items_of: Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def may_repeat(bits: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """Which items have an estimate of two or more in every row."""
+    """Which items have their bit set in every row."""
     width_bits = (bits.shape[1] * 8).bit_length() - 1
     ok = np.ones(len(items), bool)
     for r in range(len(bits)):
