@@ -25,34 +25,33 @@ def suffix_array(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = padded[j : j + n]
         key = (key << np.uint64(9)) | np.where(alive, s, 0).astype(np.uint64)
         alive &= s != 0
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     k = key[sa]
     del key
     new = np.ones(n, bool)
     new[1:] = k[1:] != k[:-1]
-    new |= ~alive[sa]  # a separator within the key: unlike any other suffix
-    rank = np.empty(n, np.int64)
+    new |= ~alive[sa]  # a separator within the key: unlike any other suffix, in any order
+    new[1:] |= ~alive[sa[:-1]]
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
     rank[sa] = first
     h = 7
-    while True:
-        tied = np.zeros(n, bool)
-        tied[:-1] = ~new[1:]
-        tied |= ~new
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return sa, rank
+    at = np.flatnonzero(~new | np.append(~new[1:], False))
+    first = first[at]
+    while len(at):
         pos = sa[at]
-        second = rank[np.minimum(pos + h, n - 1)]
-        order = np.lexsort((second, first[at]))
-        pos, second, group = pos[order], second[order], first[at][order]
+        pair = (first << 32) | rank[np.minimum(pos + h, n - 1)]
+        order = np.argsort(pair)
+        pair, pos = pair[order], pos[order]
         sa[at] = pos
-        apart = np.ones(len(at), bool)
-        apart[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
-        new[at] = apart
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[pos] = first[at]
+        new = np.ones(len(at), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        rank[pos] = first
+        tied = ~new | np.append(~new[1:], False)
+        at, first = at[tied], first[tied]
         h *= 2
+    return sa, rank
 
 
 def shared_prefixes(x: np.ndarray, least: int) -> np.ndarray:
@@ -109,8 +108,9 @@ def shared_prefixes(x: np.ndarray, least: int) -> np.ndarray:
         # extend backward: neighbours that the same symbol precedes and a boundary now parts
         k = lf[walk]
         k = np.concatenate([k, k + 1])
-        k = np.unique(k[~done[k]])
-        fresh = k[interval[psi[k - 1]] != interval[psi[k]]]
+        k = k[~done[k]]
+        k = np.sort(k[interval[psi[k - 1]] != interval[psi[k]]])
+        fresh = k[np.append(True, k[1:] != k[:-1])] if len(k) else k
         done[fresh] = True
     same = np.flatnonzero(~done[1:n]) + 1
     out[sa[same]] = True
