@@ -128,7 +128,8 @@ def repeated_strings(docs: DataFrame, least: int = LEAST, cell: int = CELL, widt
     twice = each.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     far = each.join(twice, ["anchor", "window"]).select(*seg, "at", F.lit(1).alias("len"))
     runs = near.unionByName(far).groupBy(*seg).agg(F.collect_list(F.struct("at", "len")).alias("runs"))
-    owners = kinds.select(*seg, "n").join(runs, seg, "left").where("n > 1 OR runs IS NOT NULL")
+    # a table of its own, so that both sides of the next join are plain exchanges, which AQE can split
+    owners = staged(kinds.select(*seg, "n").join(runs, seg, "left").where("n > 1 OR runs IS NOT NULL"), "owners")
     whole = F.array(F.struct(F.lit(0).alias("at"), F.col("count").alias("len")))
     hits = found.drop("n").join(owners, seg).select(
         *_KEY, "start", F.explode(F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))).alias("r")
