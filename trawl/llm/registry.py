@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_ngram_join", "q_toxicity", "q_suffix_dedup", "q_kd_shards", "q_sentencepiece", "q_substring_dedup", "q_decontaminate", "q_quality", "q_embedding_dedup")
+MODULES = ("q_ngram_join", "q_toxicity", "q_suffix_dedup", "q_kd_shards", "q_warc", "q_sentencepiece", "q_substring_dedup", "q_decontaminate", "q_quality", "q_embedding_dedup")
 
 
 def _modules():
