@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import _LOWER, U64, Powers, byte_codes, pieces, texts_of, words_of
+from trawl.llm.common import _LOWER, PIECE_BYTES, U64, Powers, byte_codes, pieces, texts_of, words_of
 from trawl.llm.quality import _LETTER, held_out
 
 TRAIN_DOCS = {1: 1500, 0: 3000}  # documents of either label to learn from, at most: those of least hash
@@ -48,13 +48,15 @@ def token_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: P
 def emission_slots(keys: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     """Slots of the word's own keys and of the cores before and after it in its text."""
     core = keys[0]
-    before = np.concatenate([core[:1] * U64(0), core[:-1]])
+    before, after = np.ones_like(core), np.full_like(core, 2)
+    before[1:] = core[:-1]
     before[fresh] = U64(1)
-    after = np.concatenate([core[1:], core[:1] * U64(0)])
-    after[np.concatenate([fresh[1:], [True]]) if len(fresh) else fresh] = U64(2)
-    all_keys = np.concatenate([keys, [before * U64(3), after * U64(5)]])
-    slot = (all_keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)
-    return slot.astype(np.int32) + (np.arange(len(all_keys), dtype=np.int32) << BITS)[:, None]
+    after[:-1] = core[1:]
+    after[:-1][fresh[1:]] = U64(2)
+    out = np.empty((len(keys) + 2, len(core)), np.int32)
+    for k, row in enumerate([*keys, before * U64(3), after * U64(5)]):
+        out[k] = ((row * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)).astype(np.int32) + np.int32(k << BITS)
+    return out
 
 
 def scan(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -138,50 +140,62 @@ def label_tokens(keys: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.n
 
 
 def fit(data: np.ndarray, off: np.ndarray, toxic: np.ndarray) -> Field:
-    """The field from whole texts and their labels."""
+    """The field from whole texts and their labels, a few megabytes of text at a time."""
     powers = Powers()
-    starts, ends, first = words_of(data, off)
-    keys = token_keys(data, starts, ends, powers)
-    owner = np.repeat(np.arange(len(toxic)), np.diff(first))
-    n_rows = keys.shape[0] + 2
-    field = Field(np.zeros(n_rows << BITS), np.zeros((2, 2)), -3.0)
-    if not len(owner):
+    cuts = [0]
+    while cuts[-1] < len(toxic):
+        cuts.append(min(len(toxic), max(cuts[-1] + 1, int(np.searchsorted(off, off[cuts[-1]] + PIECE_BYTES, "right")) - 1)))
+    parts, label_keys, owners = [], [], []
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = data[off[lo] : off[hi]]
+        starts, ends, first = words_of(part, off[lo : hi + 1] - off[lo])
+        if not len(starts):
+            continue
+        keys = token_keys(part, starts, ends, powers)
+        owner = np.repeat(np.arange(lo, hi, dtype=np.int32), np.diff(first))
+        fresh = np.concatenate([[True], owner[1:] != owner[:-1]])
+        parts.append((emission_slots(keys, fresh), fresh))
+        label_keys.append(keys[: 1 + len(PREFIXES)])
+        owners.append(owner)
+    e_dim = (len(PREFIXES) + 4) << BITS
+    field = Field(np.zeros(e_dim), np.zeros((2, 2)), -3.0)
+    if not parts:
         return field
-    y = label_tokens(keys, owner, toxic)
-    fresh = np.concatenate([[True], owner[1:] != owner[:-1]])
-    slot = emission_slots(keys, fresh)
-    # the features of most words never fire on a toxic token: a prior against it, learnt as bias
+    y = label_tokens(np.concatenate(label_keys, axis=1), np.concatenate(owners), toxic)
+    del label_keys
+    y = np.split(y, np.cumsum([len(o) for o in owners])[:-1])
+    # a prior against the toxic state; what a word adds is learnt
     field.move[:] = np.log([[0.98, 0.02], [0.9, 0.1]])
     params = np.concatenate([field.weights, field.move.ravel(), [field.start]])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    e_dim = len(field.weights)
-    seen = np.zeros(e_dim)
-    for row in slot:
-        seen += np.bincount(row, minlength=e_dim)
-    yi = y.astype(np.int64)
-    inner = ~fresh
-    true_moves = np.bincount(yi[:-1][inner[1:]] * 2 + yi[1:][inner[1:]], minlength=4).astype(float)
     for step in range(1, STEPS + 1):
         field = Field(params[:e_dim], params[e_dim : e_dim + 4].reshape(2, 2), float(params[-1]))
-        e, a, b = field.odds(slot, fresh)
-        gamma = a * b / (1 + a * b)
         grad = np.zeros_like(params)
-        miss = y - gamma
-        for row in slot:
-            grad[:e_dim] += np.bincount(row, miss, e_dim)
-        t = np.exp(field.move)
-        prev, eb = a[:-1][inner[1:]], (e * b)[1:][inner[1:]]
-        xi = np.stack([np.full(len(prev), t[0, 0]), t[0, 1] * eb, prev * t[1, 0], prev * t[1, 1] * eb])
-        grad[e_dim : e_dim + 4] = true_moves - (xi / xi.sum(0)).sum(1)
-        grad[-1] = (y - gamma)[fresh].sum()
+        for (slot, fresh), tag in zip(parts, y):
+            _gradient(field, slot, fresh, tag, grad, e_dim)
         grad[:e_dim] -= RIDGE * params[:e_dim]
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         params = params + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-    params[:e_dim][seen == 0] = 0
     return Field(params[:e_dim], params[e_dim : e_dim + 4].reshape(2, 2), float(params[-1]))
 
 
+def _gradient(field: Field, slot: np.ndarray, fresh: np.ndarray, tag: np.ndarray, grad: np.ndarray, e_dim: int) -> None:
+    """Add the log-likelihood's gradient: what the tags have less what the field expects."""
+    e, a, b = field.odds(slot, fresh)
+    miss = tag - a * b / (1 + a * b)
+    for k, row in enumerate(slot):
+        at = k << BITS
+        grad[at : at + (1 << BITS)] += np.bincount(row - at, miss, 1 << BITS)
+    inner = ~fresh[1:]
+    t = np.exp(field.move)
+    prev, eb = a[:-1][inner], (e * b)[1:][inner]
+    xi = np.stack([np.full(len(prev), t[0, 0]), t[0, 1] * eb, prev * t[1, 0], prev * t[1, 1] * eb])
+    yi = tag.astype(np.int64)
+    grad[e_dim : e_dim + 4] += np.bincount(yi[:-1][inner] * 2 + yi[1:][inner], minlength=4) - (xi / xi.sum(0)).sum(1)
+    grad[-1] += miss[fresh].sum()
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: dict[int, int] = TRAIN_DOCS) -> Field:
     """The field from at most ``most`` whole labelled texts of either label that aren't held out."""
     known = labels.select("doc_id", F.col(label).alias("y")).where(f"{label} IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
