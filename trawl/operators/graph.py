@@ -166,14 +166,15 @@ def top_vertices(rank: DataFrame, by: str, k: int = 10) -> DataFrame:
 
 def local_moves(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """(id, label) by synchronous modularity moves: each vertex goes to the neighbouring community of
-    greatest gain k_in - k * total / (2 m), if that beats its own; only to lesser labels, so that two
-    vertices don't swap."""
+    greatest gain k_in - k * total / (2 m), if that beats its own; to lesser labels in one round and to
+    greater ones in the next, so that two vertices don't swap."""
     both = edges.where("src <> dst").select("src", "dst", "weight")
     both = cut(both.union(both.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     k = both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
     m2 = k.agg(F.sum("k").alias("m2"))
     label = cut(k.select("id", "k", F.col("id").alias("label")))
-    for _ in range(rounds):
+    still = 0
+    for i in range(rounds):
         total = label.groupBy("label").agg(F.sum("k").alias("total"))
         near = both.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
         own = label.select("id", F.col("k"), F.col("label").alias("own"))
@@ -182,10 +183,11 @@ def local_moves(edges: DataFrame, rounds: int = 8) -> DataFrame:
         c = c.withColumn("gain", F.round(F.col("w") - F.col("k") * t / F.col("m2"), 9))
         best = c.groupBy("id").agg(F.max_by("label", F.struct("gain", (-F.col("label")).alias("l"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
         moved = label.join(best, "id", "left")
-        go = (F.col("gain") > F.coalesce("stay", F.lit(0.0))) & (F.col("to") < F.col("label"))
+        go = (F.col("gain") > F.coalesce("stay", F.lit(0.0))) & (F.col("to") > F.col("label") if i % 2 else F.col("to") < F.col("label"))
         new = cut(moved.select("id", "k", F.when(go, F.col("to")).otherwise(F.col("label")).alias("label"), F.coalesce(go, F.lit(False)).alias("moved")))
         n = new.where("moved").limit(1).count()
         label = new.drop("moved")
-        if not n:
+        still = 0 if n else still + 1
+        if still == 2:
             break
     return label.select("id", "label")
