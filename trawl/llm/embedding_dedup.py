@@ -129,7 +129,10 @@ def _links(spark, classes: DataFrame, d: int, threshold: float, blocks: int, til
         left = np.arange(len(rep)) if same else np.flatnonzero(~late)
         right = left if same else np.flatnonzero(late)
         sub = r[:, edge[b] : edge[b + 1]]
-        norm = (sub * sub).sum(1)
+        # one product gives squared distances: (-2 a, |a|^2, 1) . (b, 1, |b|^2)
+        norm, one = (sub * sub).sum(1, keepdims=True), np.ones((len(sub), 1), np.float32)
+        lhs, rhs = np.hstack([-2 * sub, norm, one]), np.hstack([sub, one, norm])
+        rhs_right = np.ascontiguousarray(rhs[right].T)
         links = np.zeros(len(rep), np.int64)
         reached = np.arange(len(rep))
 
@@ -141,9 +144,9 @@ def _links(spark, classes: DataFrame, d: int, threshold: float, blocks: int, til
 
         for at in range(0, len(left), 512):
             rows = left[at : at + 512]
-            near = norm[rows][:, None] + norm[right][None, :] - 2 * (sub[rows] @ sub[right].T) <= share[b] + SLACK
-            i, j = np.nonzero(near)
-            i, j = rows[i], right[j]
+            skip = at if same else 0  # of a tile with itself, the upper triangle
+            i, j = np.divmod(np.flatnonzero(lhs[rows] @ rhs_right[:, skip:] <= np.float32(share[b] + SLACK)), len(right) - skip)
+            i, j = rows[i], right[j + skip]
             if same:
                 i, j = i[i < j], j[i < j]
             for k in range(0, len(i), 50_000):
