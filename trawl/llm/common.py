@@ -193,7 +193,7 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
     combined before the shuffle and the join back is one that AQE can split. Self-loops count as
     an end without links; nulls are ignored.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct()
+    e = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = staged(e, name)
     before = None
     old: list[DataFrame] = []
