@@ -57,11 +57,11 @@ def log_baselines(spark, sf_dir):
 @query(
     "log_user_profiles",
     """WITH c AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_type) AS k FROM c),
-    u AS (SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1 HAVING count(*) >= 5)
+    u AS (SELECT user_id, count(*) AS n, round(avg(value), 9) AS mean FROM events GROUP BY 1 HAVING count(*) >= 5)
     SELECT u.user_id, n, mean, (SELECT string_agg(event_type, ',' ORDER BY k) FROM r WHERE r.user_id = u.user_id AND k <= 3) AS kinds FROM u""",
 )
 def log_user_profiles(spark, sf_dir):
-    return A.user_profiles(log(spark, sf_dir)).select("user_id", "n", F.round("mean", 6).alias("mean"), F.array_join("top_kinds", ",").alias("kinds"))
+    return A.user_profiles(log(spark, sf_dir)).select("user_id", "n", F.round("mean", 9).alias("mean"), F.array_join("top_kinds", ",").alias("kinds"))
 
 
 @query(
