@@ -7,18 +7,18 @@ are partitioned by source once and keep that partitioning over all rounds.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trawl.session import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` by a reliable checkpoint in spark.checkpoint.dir, or a temporary folder where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="trawl-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -7,7 +7,6 @@ with batches.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.session import shared_dir
+
 
 def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The event log as a file stream; ts becomes a timestamp, as watermarks need one."""
@@ -93,6 +94,6 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """All that a streaming query gives for its present input."""
     spark = df.sparkSession
     name = "t" + uuid.uuid4().hex
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="trawl-")).trigger(availableNow=True).start()
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/stream-{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
