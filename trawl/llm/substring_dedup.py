@@ -19,6 +19,7 @@ from trawl.llm.common import Powers, pieces, spread, staged, word_hashes, words_
 from trawl.llm.winnow import segments
 
 WINDOW = 50
+SENT = 1_000_000  # segments that a task remembers to have sent
 OUT = ("n_words", "n_removed", "kept_text")
 
 
@@ -46,19 +47,30 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width_bits: int = sk
     bits = docs.sparkSession.sparkContext.broadcast(sketch.repeated(texts.select("text"), anchors, width_bits))
 
     def candidates(batches):
+        sent = set()  # segments whose windows this task has sent: equal ones needn't carry them again
         for rows, s, powers in _segmented(batches, window, gram):
             keep = np.flatnonzero(sketch.may_repeat(bits.value, s["anchor"])) if len(s["doc"]) else s["doc"]
             if not len(keep):
                 continue
-            count, at = s["count"][keep], s["at"][keep]
-            p = np.repeat(at, count) + spread(count)
+            if len(sent) > SENT:
+                sent.clear()
+            kinds, where = np.unique(s["hash"][keep], return_index=True)
+            new = [i for h, i in zip(kinds.tolist(), where.tolist()) if h not in sent]
+            sent.update(kinds.tolist())
+            bare = np.ones(len(keep), bool)
+            bare[new] = False
+            count = s["count"][keep]
+            at, carried = s["at"][keep], np.where(bare, 0, count)
+            p = np.repeat(at, carried) + spread(carried)
             wins = powers.ranges(s["prefix"], p, p + window, 7)
             doc = pa.array(s["doc"][keep])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(s["anchor"][keep]), pa.array(s["hash"][keep].view(np.int64)), pa.array(count.astype(np.int32)),
                     rows.column("doc_id").take(doc), rows.column("text_key").take(doc), pa.array(s["start"][keep].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(wins.view(np.int64))),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.append(0, np.cumsum(carried)).astype(np.int32), mask=np.append(bare, False)), pa.array(wins.view(np.int64))
+                    ),
                 ],
                 names=["anchor", "hash", "count", "doc_id", "text_key", "start", "windows"],
             )
@@ -69,7 +81,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width_bits: int = sk
     )
     seg = ["anchor", "hash", "count"]
     # equal segments: all but those of the least document go whole
-    least = found.groupBy(*seg).agg(F.min("doc_id").alias("least"), F.first("windows").alias("windows"))
+    least = found.groupBy(*seg).agg(F.min("doc_id").alias("least"), F.first("windows", ignorenulls=True).alias("windows"))
     least = staged(least, "segments")
     # several different segments of one anchor: their windows are grouped one by one
     mixed = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
