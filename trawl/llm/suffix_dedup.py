@@ -131,8 +131,10 @@ def repeated_strings(docs: DataFrame, least: int = LEAST, cell: int = CELL, widt
     # a table of its own, so that both sides of the next join are plain exchanges, which AQE can split
     owners = staged(kinds.select(*seg, "n").join(runs, seg, "left").where("n > 1 OR runs IS NOT NULL"), "owners")
     whole = F.array(F.struct(F.lit(0).alias("at"), F.col("count").alias("len")))
-    hits = found.drop("n").join(owners, seg).select(
-        *_KEY, "start", F.explode(F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))).alias("r")
+    # an owner is one row of its segment, so this gives as many rows as there are places, whatever repeats
+    none = F.expr("CAST(array() AS array<struct<at:int,len:int>>)")
+    hits = found.drop("n").join(owners, seg, "left").select(
+        *_KEY, "start", F.explode(F.when(F.col("n") > 1, whole).otherwise(F.coalesce("runs", none))).alias("r")
     )
     return hits.select(*_KEY, (F.col("start") + F.col("r.at")).alias("start"), F.col("r.len").alias("count"))
 
