@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from trawl.session import shared_dir
 
 U64 = np.uint64
-PIECE_BYTES = 2_000_000  # of text that a pass holds at once; one longer text is a piece of its own
+PIECE_BYTES = 1_000_000  # of text that a pass holds at once; one longer text is a piece of its own
 PIECE_ROWS = 50_000
 
 _SPACE = np.zeros(256, bool)

@@ -23,6 +23,7 @@ from trawl.llm.winnow import segments
 LEAST = 400
 CELL = 1000  # different segments of one anchor that a bucket may take
 BUCKET_BYTES = 1_500_000
+PASS_BYTES = 400_000  # of text at once: a byte takes some 80 bytes of temporary arrays
 OUT = ("n_bytes", "n_removed", "removed_spans", "kept_bytes", "kept_text")
 _KEY = ("_key1", "_key2")
 
@@ -33,7 +34,7 @@ def _keys(df: DataFrame) -> DataFrame:
 
 def _segmented(batches, least):
     powers, codes = Powers(), byte_codes(0)
-    for rows, data, off in pieces(batches):
+    for rows, data, off in pieces(batches, most=PASS_BYTES):
         yield rows, data, off, segments(codes[data], off, least, least // 2, powers), powers
 
 
