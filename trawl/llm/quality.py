@@ -82,6 +82,7 @@ def features_of(data: np.ndarray, off: np.ndarray, powers: Powers) -> np.ndarray
     line_start = np.sort(np.concatenate([off[:-1], cuts + 1]))
     line_owner = np.searchsorted(off, line_start, "right") - 1
     line_end = np.append(line_start[1:], len(data))
+    line_end = line_end - (data[np.maximum(line_end - 1, 0)] == 10) if len(data) else line_end
     ok = (line_owner < n) & (line_end > line_start)
     line_start, line_end, line_owner = line_start[ok], line_end[ok], line_owner[ok]
     lines = np.bincount(line_owner, minlength=n)
