@@ -39,7 +39,7 @@ def _segmented(batches, least):
 
 
 def repeated_strings(docs: DataFrame, least: int = LEAST, cell: int = CELL, width_bits: int = sketch.WIDTH_BITS) -> DataFrame:
-    """(_key1, _key2, start, count): by text, runs of starts of strings that also start elsewhere."""
+    """(_key1, _key2, _ranges): by text, runs (start, count) of starts of strings that also start elsewhere."""
     texts = _keys(docs.select("text")).where("text IS NOT NULL")
 
     def anchors(batches):
@@ -131,13 +131,12 @@ def repeated_strings(docs: DataFrame, least: int = LEAST, cell: int = CELL, widt
     runs = near.unionByName(far).groupBy(*seg).agg(F.collect_list(F.struct("at", "len")).alias("runs"))
     # a table of its own, so that both sides of the next join are plain exchanges, which AQE can split
     owners = staged(kinds.select(*seg, "n").join(runs, seg, "left").where("n > 1 OR runs IS NOT NULL"), "owners")
+    # an owner is one row of its segment, so this gives as many rows as there are places, whatever
+    # repeats; a text's runs are gathered from them without a row for each
     whole = F.array(F.struct(F.lit(0).alias("at"), F.col("count").alias("len")))
-    # an owner is one row of its segment, so this gives as many rows as there are places, whatever repeats
-    none = F.expr("CAST(array() AS array<struct<at:int,len:int>>)")
-    hits = found.drop("n").join(owners, seg, "left").select(
-        *_KEY, "start", F.explode(F.when(F.col("n") > 1, whole).otherwise(F.coalesce("runs", none))).alias("r")
-    )
-    return hits.select(*_KEY, (F.col("start") + F.col("r.at")).alias("start"), F.col("r.len").alias("count"))
+    mine = F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))  # null where nothing repeats
+    placed = F.transform(mine, lambda r: F.struct((F.col("start") + r["at"]).alias("start"), r["len"].alias("count")))
+    return found.drop("n").join(owners, seg, "left").groupBy(*_KEY).agg(F.flatten(F.collect_list(placed)).alias("_ranges"))
 
 
 def suffix_dedup(docs: DataFrame, least: int = LEAST, cell: int = CELL, width_bits: int = sketch.WIDTH_BITS) -> DataFrame:
@@ -149,7 +148,7 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, cell: int = CELL, width_bi
     strings; null ids don't matter, rows go by their text. Input columns named like an output are
     replaced.
     """
-    ranges = repeated_strings(docs, least, cell, width_bits).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "count")).alias("_ranges"))
+    ranges = repeated_strings(docs, least, cell, width_bits)
     docs = _keys(docs.drop(*OUT, "_ranges", *_KEY))
     both = docs.join(ranges, list(_KEY), "left").drop(*_KEY)
     keep = [f for f in both.schema.fields if f.name != "_ranges"]
