@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from trawl.llm.common import _LOWER, PIECE_BYTES, U64, Powers, byte_codes, pieces, texts_of, words_of
 from trawl.llm.quality import _LETTER, held_out
 
-TRAIN_DOCS = {1: 1500, 0: 3000}  # documents of either label to learn from, at most: those of least hash
+TRAIN_DOCS = {1: 1000, 0: 2000}  # documents of either label to learn from, at most: those of least hash
 BITS = 18  # of the table of emission weights of each feature
 PREFIXES = (4, 5, 6)
 STEPS = 30
