@@ -31,27 +31,28 @@ def record(url: Column, body: Column, record_id: Column) -> Column:
     )
 
 
-def layout(pages: DataFrame) -> DataFrame:
-    """(page_id, file, seq, offset, length, record): the records of all pages, placed.
+def layout(pages: DataFrame, with_record: bool = True) -> DataFrame:
+    """(page_id, file, seq, offset, length, sha256, record): the records of all pages, placed.
 
+    Records are hashed where they are read; without ``with_record`` only hashes and lengths move.
     Files hold FILE_RECORDS ids each, ordered by id and, for repeated ids, by content. Pages are
     few to an id; ids repeated beyond FANOUT ** LEVELS rows of a file would need more levels. Null
     ids go to file -1, null pages are empty bodies, null URLs empty.
     """
     rows = pages.select("page_id", record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
     file = F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS).cast("long"), F.lit(-1).cast("long"))
-    rows = rows.select("page_id", file.alias("file"), (F.octet_length("record") + 4).cast("long").alias("length"), "record")
-    order = W.partitionBy("file").orderBy("page_id", F.sha2("record", 256))
+    rows = rows.select("page_id", file.alias("file"), (F.octet_length("record") + 4).cast("long").alias("length"), F.sha2("record", 256).alias("sha256"), *["record"] * with_record)
+    order = W.partitionBy("file").orderBy("page_id", "sha256")
     return rows.select(
         "page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("seq"),
-        (F.sum("length").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "record",
+        (F.sum("length").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")).alias("offset"), "length", "sha256", *["record"] * with_record,
     )
 
 
 def leaves(records: DataFrame) -> DataFrame:
     """(file, level 0, node = seq, start, end, hash) of placed records."""
     return records.select(
-        "file", F.lit(0).alias("level"), F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.sha2("record", 256).alias("hash")
+        "file", F.lit(0).alias("level"), F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.col("sha256").alias("hash")
     )
 
 
@@ -133,12 +134,9 @@ def fixity_audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     A record is intact if the descent doesn't end at it. Null bodies and URLs count as empty;
     repeated rows are records of their own; an empty table gives no rows.
     """
-    placed = layout(pages)
-    mine = staged(
-        placed.select("page_id", "file", "seq", "offset", "length", F.sha2("record", 256).alias("sha256")), "records"
-    )
-    theirs = staged(leaves(layout(replica)), "replica")
-    leaf = mine.select("file", F.lit(0).alias("level"), F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.col("sha256").alias("hash"))
+    mine = staged(layout(pages, with_record=False), "records")
+    leaf = leaves(mine)
+    theirs = staged(leaves(layout(replica, with_record=False)), "replica")
     wrong = audit(staged(merkle(leaf), "tree"), staged(merkle(theirs), "tree"))
     bad = wrong.where("hash IS NOT NULL").select("file", F.col("node").alias("seq"), F.lit(False).alias("found"))
     return mine.join(bad, ["file", "seq"], "left").select("page_id", "file", "seq", "offset", "length", "sha256", F.coalesce("found", F.lit(True)).alias("intact"))
