@@ -30,6 +30,26 @@ def test_copies_parameters_and_consistency(spark):
     assert set(got) == {(0, 0), (1, 0), (2, 0), (7, 3)}
 
 
+def test_names_that_open_sentences(spark):
+    item = "Tom has 12 apples. Ann takes 5. How many are left?"
+    texts = [
+        "Eve has 7 apples. Sue takes 3. How many are left?",
+        "We read: eve said that Eve has 7 apples. Sue takes 3. how many are left?",
+        "Eve has 7 apples. Eve takes 3. How many are left?",
+        "Eve has 7 apples. Sue takes 7. How many are left?",
+        item,
+    ]
+    got = found(spark, texts, [item])
+    assert {k: v[1] for k, v in got.items()} == {(0, 0): True, (1, 0): True, (4, 0): False}
+    assert got[(0, 0)][0] == got[(4, 0)][0] == 11
+
+
+def test_an_opening_word_that_is_no_name_breaks_nothing(spark):
+    item = ITEM + " The rest of the fruit is given to the poor. The end."
+    text = ITEM.replace("12", "7").replace("Alice", "Carol").replace("Bob", "Dan") + " This rest of the fruit is given to the poor. The end."
+    assert found(spark, [text], [item])[(0, 0)][0] >= 21
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [ITEM]) == {}
     assert found(spark, [ITEM], []) == {}

@@ -3,7 +3,8 @@
 Words lose marks at their ends and capitals; numbers, units and names become typed placeholders.
 Template windows of an item and of a document that are equal meet by hash; the values behind their
 placeholders must correspond one to one over all windows of an alignment, which is what a
-re-parameterised question keeps. Windows of literal words catch plain copies, whose first word, for
+re-parameterised question keeps. A capitalised word that opens a text, a line or a sentence is taken
+as a name and as a plain word, on both sides. Windows of literal words catch plain copies, whose first word, for
 one, may pass for a name. A bit filter of fixed size over the items' windows spares the shuffle
 of windows that no item has; the join is exact at any size of either side.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm import sketch
-from trawl.llm.common import _LOWER, U64, Powers, byte_codes, pieces, spread, staged, words_of
+from trawl.llm.common import _LOWER, U64, Powers, byte_codes, mixed, pieces, spread, staged, words_of
 from trawl.llm.quality import _CAPITAL, _DIGIT, _LETTER
 
 LITERAL = 8  # words of a literal window
@@ -52,10 +53,13 @@ def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def canonical(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(literal hash, template hash, first): of every word; the template hash of a placeholder is its type."""
+    """(literal hash, template hash, opens, first): of every word; the template hash of a placeholder is its type.
+
+    An opening word that may be a name has its literal hash as template hash, and opens set.
+    """
     starts, ends, first = words_of(data, off)
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(0, U64), first
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool), first
     solid = np.flatnonzero(_LETTER[data] | _DIGIT[data])
     solid = np.append(solid, len(data))
     lo = solid[np.searchsorted(solid, starts)]
@@ -67,47 +71,65 @@ def canonical(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.nda
     digits, inside, capitals = total(_DIGIT[data]), total(_INSIDE_NUMBER[data]), total(_CAPITAL[data])
     number = (digits[hi] > digits[lo]) & (inside[hi] - inside[lo] == hi - lo) | _among(literal, _hash_of(NUMBERS, powers))
     unit = _among(literal, _hash_of(UNITS, powers))
-    # a name: one leading capital, not where a sentence, a line or a text begins
+    # a name: one leading capital; where a sentence, a line or a text begins it may be one or not
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     begins = np.ones(len(starts), bool)
     begins[1:] = _STOP[data[ends[:-1] - 1]] | (breaks[starts[1:]] > breaks[ends[:-1]])
     at = first[:-1]
     begins[at[at < len(starts)]] = True
-    name = _CAPITAL[data[lo]] & (capitals[hi] - capitals[lo] == 1) & (hi - lo > 1) & ~begins & ~number & ~unit
-    template = np.where(number, NUMBER, np.where(unit & ~number, UNIT, np.where(name, NAME, literal)))
-    return literal, template, first
+    named = _CAPITAL[data[lo]] & (capitals[hi] - capitals[lo] == 1) & (hi - lo > 1) & ~number & ~unit
+    template = np.where(number, NUMBER, np.where(unit & ~number, UNIT, np.where(named & ~begins, NAME, literal)))
+    return literal, template, named & begins, first
 
 
-def windows(data: np.ndarray, off: np.ndarray, powers: Powers, short: bool = False):
-    """(owner, start, width, kind, hash, slot bounds, slots) of literal (kind 0) and template (kind 1) windows.
+def windows(data: np.ndarray, off: np.ndarray, powers: Powers, short: bool = False, bits: np.ndarray | None = None):
+    """Pieces (owner, start, width, kind, hash, slot bounds, slots, loose, words) of literal (kind 0) and template (kind 1) windows.
 
     A template window has a placeholder and PLAIN other words; its slots are the literal hashes
-    behind the placeholders. With ``short``, a text of fewer than LITERAL words is one window.
+    behind the placeholders. It comes once for every reading of its opening capitalised words as
+    names or not; loose tells the slots of those read as names. With ``short``, a text of fewer
+    than LITERAL words is one window. With ``bits``, only windows that may be in them come.
     """
-    literal, template, first = canonical(data, off, powers)
+    literal, template, opens, first = canonical(data, off, powers)
     n = np.diff(first)
-    out = []
+    total = lambda t: np.concatenate([[0], np.cumsum(t)])
+    placed = template != literal
+    slots_to, opens_to, openers = total(placed), total(opens), np.flatnonzero(opens)
+    turned = NAME - literal[openers]
     for kind, width, code in ((0, LITERAL, literal), (1, TEMPLATE, template)):
         size = np.full(len(n), width)
         if short and not kind:
             size = np.minimum(size, np.maximum(n, 1))
         count = np.maximum(n - size + 1, 0) * (n > 0)
-        owner = np.repeat(np.arange(len(n)), count)
-        p = np.repeat(first[:-1], count) + spread(count)
-        w = size[owner]
-        if kind:
-            open_ = np.concatenate([[0], np.cumsum(template != literal)])
-            slots = open_[p + w] - open_[p] if len(p) else p
-            keep = (slots > 0) & (w - slots >= PLAIN)
-            owner, p, w, slots = owner[keep], p[keep], w[keep], slots[keep]
-            where = np.flatnonzero(template != literal)
-            values = literal[where][np.repeat(open_[p], slots) + spread(slots)] if len(p) else np.zeros(0, U64)
-        else:
-            slots, values = np.zeros(len(p), np.int64), np.zeros(0, U64)
-        h = powers.ranges(powers.prefix(code), p, p + w, 43 + kind) if len(p) else np.zeros(0, U64)
-        out.append((owner, p - first[owner] if len(owner) else p, w, np.full(len(p), kind), h, slots, values))
-    join = [np.concatenate(x) for x in zip(*out)]
-    return (*join[:5], np.concatenate([[0], np.cumsum(join[5])]), join[6], n)
+        owner_of = np.repeat(np.arange(len(n)), count)
+        start = np.repeat(first[:-1], count) + spread(count)
+        if not len(start):
+            continue
+        prefix, end = powers.prefix(code), start + size[owner_of]
+        plain_hash = (prefix[end] - prefix[start]) * powers.down[start] + size[owner_of].astype(U64)
+        fixed, some = slots_to[end] - slots_to[start], (opens_to[end] - opens_to[start]) * kind
+        for m in range(1 << int(some.max())):
+            if m & (m - 1) == 0:  # one more opening word than before
+                at = np.flatnonzero(some >= m.bit_length())
+            p, w, slots = start[at], size[owner_of[at]], fixed[at] + m.bit_count()
+            h, names = plain_hash[at], np.zeros(len(at), np.int64)
+            for j in range(m.bit_length()):
+                if m >> j & 1:
+                    nth = opens_to[p] + j
+                    h = h + turned[nth] * powers.up[openers[nth] - p]
+                    names |= 1 << (openers[nth] - p)
+            h = mixed(h, 43 + kind)
+            keep = (slots > 0) & (w - slots >= PLAIN) if kind else np.ones(len(p), bool)
+            if bits is not None:
+                keep &= sketch.may_repeat(bits, h)
+            keep = np.flatnonzero(keep)
+            if not len(keep):
+                continue
+            p, w, h, names, owner = p[keep], w[keep], h[keep], names[keep], owner_of[at[keep]]
+            cell = p[:, None] + np.arange(width)
+            loose = (names[:, None] >> np.arange(width)) & 1 > 0
+            slot = (placed[np.minimum(cell, len(placed) - 1)] | loose) & (cell < (p + w)[:, None]) & bool(kind)
+            yield owner, p - first[owner], w, np.full(len(p), kind), h, total(slot.sum(1)), literal[cell[slot]], loose[slot], n[owner]
 
 
 def _window_rows(df: DataFrame, key: str, short: bool, bits) -> DataFrame:
@@ -116,31 +138,28 @@ def _window_rows(df: DataFrame, key: str, short: bool, bits) -> DataFrame:
     def rows(batches):
         powers = Powers()
         for part, data, off in pieces(batches):
-            owner, start, width, what, h, bound, values, n = windows(data, off, powers, short)
-            keep = np.flatnonzero(sketch.may_repeat(bits.value, h)) if bits is not None else np.arange(len(h))
-            if not len(keep):
-                continue
-            size = np.diff(bound)[keep]
-            slots = values[np.repeat(bound[:-1][keep], size) + spread(size)]
-            pick = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(key).take(pick), part.column("text_key").take(pick), pa.array(start[keep].astype(np.int32)), pa.array(width[keep].astype(np.int32)),
-                    pa.array(what[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)), pa.array(n[owner[keep]].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(slots.view(np.int64))),
-                ],
-                names=[key, "text_key", "start", "width", "kind", "hash", "words", "slots"],
-            )
+            for owner, start, width, what, h, bound, values, loose, n in windows(data, off, powers, short, None if bits is None else bits.value):
+                pick, bound = pa.array(owner), pa.array(bound.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(key).take(pick), part.column("text_key").take(pick), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int32)),
+                        pa.array(what.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)),
+                        pa.ListArray.from_arrays(bound, pa.array(values.view(np.int64))), pa.ListArray.from_arrays(bound, pa.array(loose)),
+                    ],
+                    names=[key, "text_key", "start", "width", "kind", "hash", "words", "slots", "loose"],
+                )
 
     return df.select(key, "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        rows, f"{key} {kind}, text_key long, start int, width int, kind int, hash long, words int, slots array<long>"
+        rows, f"{key} {kind}, text_key long, start int, width int, kind int, hash long, words int, slots array<long>, loose array<boolean>"
     )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, item_words, covered_words, reparameterised): documents that hold item windows.
 
-    Only alignments whose slots correspond one to one count; reparameterised says that no
+    Only alignments whose slots correspond one to one count. Windows where an opening word as a
+    name contradicts other slots are left out; if certain slots contradict each other then, the
+    windows without opening words as names decide. reparameterised says that no
     alignment of the pair has the item's own values throughout. Null and empty texts and items
     match nothing; an item of fewer than LITERAL words matches as a whole; repeated rows give one
     pair; rows with null ids keep the null. text_key is xxhash64 of the text. Only the ids and
@@ -148,8 +167,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = staged(
         _window_rows(benchmark.where("text IS NOT NULL"), "item_id", True, None)
-        .select("item_id", "hash", "kind", F.col("start").alias("at"), F.col("width").alias("item_width"), F.col("words").alias("item_words"), F.col("slots").alias("item_slots"))
-        .dropDuplicates(["item_id", "hash", "kind", "at"]),
+        .select("item_id", "hash", "kind", F.col("start").alias("at"), F.col("width").alias("item_width"), F.col("words").alias("item_words"), F.col("slots").alias("item_slots"), F.col("loose").alias("item_loose"))
+        .dropDuplicates(["item_id", "hash", "kind", "at", "item_loose", "item_slots"]),
         "items",
     )
 
@@ -164,20 +183,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = _window_rows(texts, "doc_id", False, bits)
     for width in sorted(short):
         found = found.unionByName(_short_rows(texts, width, bits))
-    hits = found.select("doc_id", "text_key", "hash", "kind", "start", "slots").join(items, ["hash", "kind"])
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    hits = found.select("doc_id", "text_key", "hash", "kind", "start", "slots", "loose").join(items, ["hash", "kind"])
+    pair = lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b"), (x["item_loose"] | x["loose"]).alias("loose"))
+    zipped = F.arrays_zip("item_slots", "slots", "item_loose", "loose")
+    # the same opening word on both sides meets literally too, and then binds nothing
+    hits = hits.where(~F.exists(zipped, lambda x: (x["item_slots"] == x["slots"]) & x["item_loose"] & x["loose"]))
+    hits = hits.withColumn("hit", F.struct(F.transform(zipped, pair).alias("pairs"), "at", "item_width"))
     at = ["doc_id", "text_key", "item_id", "item_words", "kind", (F.col("start") - F.col("at")).alias("shift")]
+    pairs = lambda x: F.array_distinct(F.flatten(F.transform(x, lambda h: h["pairs"])))
+    clash = lambda x, y: (x["a"] == y["a"]) != (x["b"] == y["b"])
+    apart = lambda ps: ~F.exists(ps, lambda x: F.exists(ps, lambda y: clash(x, y)))
     one = (
         hits.groupBy(*at)
-        .agg(
-            F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
-            F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("item_width") - 1)))).alias("covered"),
-        )
-        .withColumn("a", F.array_distinct(F.transform("pairs", lambda x: x["a"])))
-        .withColumn("b", F.array_distinct(F.transform("pairs", lambda x: x["b"])))
-        .where((F.size("a") == F.size("pairs")) & (F.size("b") == F.size("pairs")))
+        .agg(F.collect_set("hit").alias("hits"))
+        .withColumn("pairs", pairs(F.col("hits")))
+        .withColumn("wrong", F.filter("pairs", lambda x: x["loose"] & F.exists("pairs", lambda y: clash(x, y))))
+        .withColumn("kept", F.filter("hits", lambda h: ~F.arrays_overlap(h["pairs"], F.col("wrong"))))
+        .withColumn("strict", F.filter("hits", lambda h: ~F.exists(h["pairs"], lambda x: x["loose"])))
+        .withColumn("hits", F.when(apart(pairs(F.col("kept"))), F.col("kept")).when(apart(pairs(F.col("strict"))), F.col("strict")))
+        .where(F.size("hits") > 0)
+        .withColumn("covered", F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["item_width"] - 1)))))
     )
-    same = F.forall("pairs", lambda x: x["a"] == x["b"])
+    same = F.forall(pairs(F.col("hits")), lambda x: x["a"] == x["b"])
     return one.groupBy("doc_id", "text_key", "item_id", "item_words").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("covered_words"), (~F.bool_or(same)).alias("reparameterised")
     )
@@ -189,7 +216,7 @@ def _short_rows(texts: DataFrame, width: int, bits) -> DataFrame:
     def rows(batches):
         powers = Powers()
         for part, data, off in pieces(batches):
-            literal, _, first = canonical(data, off, powers)
+            literal, _, _, first = canonical(data, off, powers)
             n = np.diff(first)
             count = np.maximum(n - width + 1, 0)
             owner = np.repeat(np.arange(len(n)), count)
@@ -198,16 +225,17 @@ def _short_rows(texts: DataFrame, width: int, bits) -> DataFrame:
             keep = np.flatnonzero(sketch.may_repeat(bits.value, h))
             if len(keep):
                 pick = pa.array(owner[keep])
-                empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(keep) + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
+                none = pa.array(np.zeros(len(keep) + 1, np.int32))
+                empty = [pa.ListArray.from_arrays(none, pa.array(np.zeros(0, t))) for t in (np.int64, bool)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pick), part.column("text_key").take(pick), pa.array((p - first[owner])[keep].astype(np.int32)),
-                        pa.array(np.full(len(keep), width, np.int32)), pa.array(np.zeros(len(keep), np.int32)), pa.array(h[keep].view(np.int64)), pa.array(n[owner[keep]].astype(np.int32)), empty,
+                        pa.array(np.full(len(keep), width, np.int32)), pa.array(np.zeros(len(keep), np.int32)), pa.array(h[keep].view(np.int64)), pa.array(n[owner[keep]].astype(np.int32)), *empty,
                     ],
-                    names=["doc_id", "text_key", "start", "width", "kind", "hash", "words", "slots"],
+                    names=["doc_id", "text_key", "start", "width", "kind", "hash", "words", "slots", "loose"],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        rows, f"doc_id {kind}, text_key long, start int, width int, kind int, hash long, words int, slots array<long>"
+        rows, f"doc_id {kind}, text_key long, start int, width int, kind int, hash long, words int, slots array<long>, loose array<boolean>"
     )
