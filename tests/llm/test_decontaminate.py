@@ -50,6 +50,25 @@ def test_an_opening_word_that_is_no_name_breaks_nothing(spark):
     assert found(spark, [text], [item])[(0, 0)][0] >= 21
 
 
+def test_short_and_dense_items(spark):
+    items = [
+        "What is 12 plus 7 times 3 in total?",
+        "Mix 3 g, 5 ml, 7 kg and 9 cm for Ann, Bob, Eve, then stir 4 minutes until done.",
+        "Add 11 12 13 14 15 16 17 18 19 20 21 22 23 24 11 now please my dear old friend.",
+    ]
+    texts = [
+        "Well. What is 9 plus 8 times 2 in total? Say.",
+        "Mix 2 g, 6 ml, 8 kg and 1 cm for Tim, Dan, Sue, then stir 5 minutes until done.",
+        "Add 31 32 33 34 35 36 37 38 39 40 41 42 43 44 31 now please my dear old friend.",
+        "Add 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 now please my dear old friend.",
+        "What is 12 plus 7 times 3 in total?",
+        "51 52 53 54 55 56 57 58 59 60 61 62 63 64 65 66 67 68 69 70 and 3 g for Ann, Bob",
+    ]
+    got = found(spark, texts, items)
+    assert {k: v[1] for k, v in got.items()} == {(0, 0): True, (1, 1): True, (2, 2): True, (4, 0): False}
+    assert got[(0, 0)][0] == 9 and got[(1, 1)][0] == 20 and got[(2, 2)][0] == 22
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [ITEM]) == {}
     assert found(spark, [ITEM], []) == {}

@@ -22,7 +22,7 @@ from trawl.llm.quality import _CAPITAL, _DIGIT, _LETTER
 
 LITERAL = 8  # words of a literal window
 TEMPLATE = 10  # words of a template window
-PLAIN = 5  # of them that are no placeholders, at least
+PLAIN = 5  # words that are no placeholders and agree in a template alignment, at least; all of an item that has fewer
 FILTER_BITS = 24
 # fixed values: words that count as units or numbers
 UNITS = (
@@ -82,13 +82,16 @@ def canonical(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.nda
     return literal, template, named & begins, first
 
 
-def windows(data: np.ndarray, off: np.ndarray, powers: Powers, short: bool = False, bits: np.ndarray | None = None):
-    """Pieces (owner, start, width, kind, hash, slot bounds, slots, loose, words) of literal (kind 0) and template (kind 1) windows.
+def windows(data: np.ndarray, off: np.ndarray, powers: Powers, kinds, short: bool = False, bits: np.ndarray | None = None, bare: bool | None = None):
+    """Pieces (owner, start, width, kind, hash, slot bounds, slots, loose, plain bits, words, plain words) of windows of ``kinds``.
 
-    A template window has a placeholder and PLAIN other words; its slots are the literal hashes
-    behind the placeholders. It comes once for every reading of its opening capitalised words as
-    names or not; loose tells the slots of those read as names. With ``short``, a text of fewer
-    than LITERAL words is one window. With ``bits``, only windows that may be in them come.
+    ``kinds`` are (0, width) of literal and (1, width) of template windows. A template window has a
+    placeholder; its slots are the literal hashes behind its placeholders. It comes once for every
+    reading of its opening capitalised words as names or not; loose tells the slots of those read
+    as names. Plain bits are the places of its other words, plain words those of the text that are
+    plain in any reading. With ``short``, a text of fewer words than a width is one window. With
+    ``bits``, only windows that may be in them come; with ``bare``, only template windows without
+    (True) or with (False) a plain word, and literal ones with False.
     """
     literal, template, opens, first = canonical(data, off, powers)
     n = np.diff(first)
@@ -96,9 +99,11 @@ def windows(data: np.ndarray, off: np.ndarray, powers: Powers, short: bool = Fal
     placed = template != literal
     slots_to, opens_to, openers = total(placed), total(opens), np.flatnonzero(opens)
     turned = NAME - literal[openers]
-    for kind, width, code in ((0, LITERAL, literal), (1, TEMPLATE, template)):
+    certain = np.diff(total(~placed & ~opens)[first])
+    for kind, width in kinds:
+        code = template if kind else literal
         size = np.full(len(n), width)
-        if short and not kind:
+        if short:
             size = np.minimum(size, np.maximum(n, 1))
         count = np.maximum(n - size + 1, 0) * (n > 0)
         owner_of = np.repeat(np.arange(len(n)), count)
@@ -119,7 +124,9 @@ def windows(data: np.ndarray, off: np.ndarray, powers: Powers, short: bool = Fal
                     h = h + turned[nth] * powers.up[openers[nth] - p]
                     names |= 1 << (openers[nth] - p)
             h = mixed(h, 43 + kind)
-            keep = (slots > 0) & (w - slots >= PLAIN) if kind else np.ones(len(p), bool)
+            keep = slots > 0 if kind else np.full(len(p), bare is not True)
+            if kind and bare is not None:
+                keep &= (slots == w) == bare
             if bits is not None:
                 keep &= sketch.may_repeat(bits, h)
             keep = np.flatnonzero(keep)
@@ -128,29 +135,32 @@ def windows(data: np.ndarray, off: np.ndarray, powers: Powers, short: bool = Fal
             p, w, h, names, owner = p[keep], w[keep], h[keep], names[keep], owner_of[at[keep]]
             cell = p[:, None] + np.arange(width)
             loose = (names[:, None] >> np.arange(width)) & 1 > 0
-            slot = (placed[np.minimum(cell, len(placed) - 1)] | loose) & (cell < (p + w)[:, None]) & bool(kind)
-            yield owner, p - first[owner], w, np.full(len(p), kind), h, total(slot.sum(1)), literal[cell[slot]], loose[slot], n[owner]
+            inside = cell < (p + w)[:, None]
+            slot = (placed[np.minimum(cell, len(placed) - 1)] | loose) & inside & bool(kind)
+            plain = (inside & ~slot) @ (1 << np.arange(width))
+            yield owner, p - first[owner], w, np.full(len(p), kind), h, total(slot.sum(1)), literal[cell[slot]], loose[slot], plain, n[owner], certain[owner]
 
 
-def _window_rows(df: DataFrame, key: str, short: bool, bits) -> DataFrame:
+def _window_rows(df: DataFrame, key: str, kinds, short: bool = False, bits=None, bare: bool | None = None) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
 
     def rows(batches):
         powers = Powers()
         for part, data, off in pieces(batches):
-            for owner, start, width, what, h, bound, values, loose, n in windows(data, off, powers, short, None if bits is None else bits.value):
+            for owner, start, width, what, h, bound, values, loose, plain, n, certain in windows(data, off, powers, kinds, short, bits and bits.value, bare):
                 pick, bound = pa.array(owner), pa.array(bound.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(key).take(pick), part.column("text_key").take(pick), pa.array(start.astype(np.int32)), pa.array(width.astype(np.int32)),
                         pa.array(what.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)),
                         pa.ListArray.from_arrays(bound, pa.array(values.view(np.int64))), pa.ListArray.from_arrays(bound, pa.array(loose)),
+                        pa.array(plain.astype(np.int32)), pa.array(certain.astype(np.int32)),
                     ],
-                    names=[key, "text_key", "start", "width", "kind", "hash", "words", "slots", "loose"],
+                    names=[key, "text_key", "start", "width", "kind", "hash", "words", "slots", "loose", "plain", "certain"],
                 )
 
     return df.select(key, "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        rows, f"{key} {kind}, text_key long, start int, width int, kind int, hash long, words int, slots array<long>, loose array<boolean>"
+        rows, f"{key} {kind}, text_key long, start int, width int, kind int, hash long, words int, slots array<long>, loose array<boolean>, plain int, certain int"
     )
 
 
@@ -161,13 +171,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     name contradicts other slots are left out; if certain slots contradict each other then, the
     windows without opening words as names decide. reparameterised says that no
     alignment of the pair has the item's own values throughout. Null and empty texts and items
-    match nothing; an item of fewer than LITERAL words matches as a whole; repeated rows give one
+    match nothing; an item of fewer words than a window matches as a whole. An alignment of templates needs PLAIN
+    equal plain words, or all of an item's that has fewer, and one at least; repeated rows give one
     pair; rows with null ids keep the null. text_key is xxhash64 of the text. Only the ids and
     texts are read, so other columns may have any name.
     """
+    full = [(0, LITERAL), (1, TEMPLATE)]
     items = staged(
-        _window_rows(benchmark.where("text IS NOT NULL"), "item_id", True, None)
-        .select("item_id", "hash", "kind", F.col("start").alias("at"), F.col("width").alias("item_width"), F.col("words").alias("item_words"), F.col("slots").alias("item_slots"), F.col("loose").alias("item_loose"))
+        _window_rows(benchmark.where("text IS NOT NULL"), "item_id", full, short=True)
+        .select(
+            "item_id", "hash", "kind", F.col("start").alias("at"), F.col("width").alias("item_width"), F.col("words").alias("item_words"),
+            F.col("slots").alias("item_slots"), F.col("loose").alias("item_loose"), "plain", "certain",
+        )
         .dropDuplicates(["item_id", "hash", "kind", "at", "item_loose", "item_slots"]),
         "items",
     )
@@ -177,22 +192,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield b.column(0).to_numpy().view(U64)
 
     spark = docs.sparkSession
-    short = [r[0] for r in items.where((F.col("kind") == 0) & (F.col("item_width") < LITERAL)).select("item_width").distinct().collect()]  # LITERAL - 1 widths at most
+    kinds = sorted({(r.kind, r.item_width) for r in items.select("kind", "item_width").distinct().collect()} | set(full))  # LITERAL + TEMPLATE at most
     bits = spark.sparkContext.broadcast(sketch.repeated(items.select("hash"), hashes, FILTER_BITS, least=1))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
-    found = _window_rows(texts, "doc_id", False, bits)
-    for width in sorted(short):
-        found = found.unionByName(_short_rows(texts, width, bits))
-    hits = found.select("doc_id", "text_key", "hash", "kind", "start", "slots", "loose").join(items, ["hash", "kind"])
+    cols = ["doc_id", "text_key", "hash", "kind", "start", "slots", "loose"]
+    # an alignment needs a plain word, so windows without one, which many texts share, meet only in alignments that others find
+    bare = (F.col("kind") == 1) & (F.col("plain") == 0)
+    met = _window_rows(texts, "doc_id", kinds, bits=bits, bare=False).select(*cols)
+    hits = met.join(items.where(~bare), ["hash", "kind"])
+    lone = items.where(bare)
+    if lone.limit(1).count():
+        hits = staged(hits, "hits")
+        found = hits.where("kind = 1").select("doc_id", "text_key", "item_id", (F.col("start") - F.col("at")).alias("shift")).distinct()
+        place = found.join(lone, "item_id").withColumn("start", (F.col("shift") + F.col("at")).cast("int")).drop("shift").withColumnRenamed("doc_id", "_doc")
+        more = _window_rows(texts, "doc_id", kinds, bits=bits, bare=True).select(*cols)
+        same_place = more["doc_id"].eqNullSafe(place["_doc"])
+        hits = hits.unionByName(more.join(place, ["text_key", "start", "hash", "kind"]).where(same_place).drop("_doc"))
     pair = lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b"), (x["item_loose"] | x["loose"]).alias("loose"))
     zipped = F.arrays_zip("item_slots", "slots", "item_loose", "loose")
     # the same opening word on both sides meets literally too, and then binds nothing
     hits = hits.where(~F.exists(zipped, lambda x: (x["item_slots"] == x["slots"]) & x["item_loose"] & x["loose"]))
-    hits = hits.withColumn("hit", F.struct(F.transform(zipped, pair).alias("pairs"), "at", "item_width"))
-    at = ["doc_id", "text_key", "item_id", "item_words", "kind", (F.col("start") - F.col("at")).alias("shift")]
+    hits = hits.withColumn("hit", F.struct(F.transform(zipped, pair).alias("pairs"), "at", "item_width", "plain"))
+    at = ["doc_id", "text_key", "item_id", "item_words", "certain", "kind", (F.col("start") - F.col("at")).alias("shift")]
     pairs = lambda x: F.array_distinct(F.flatten(F.transform(x, lambda h: h["pairs"])))
     clash = lambda x, y: (x["a"] == y["a"]) != (x["b"] == y["b"])
     apart = lambda ps: ~F.exists(ps, lambda x: F.exists(ps, lambda y: clash(x, y)))
+    places = F.sequence(F.lit(0), F.lit(TEMPLATE - 1))
+    plain_at = lambda h: F.transform(F.filter(places, lambda j: F.getbit(h["plain"], j) == 1), lambda j: h["at"] + j)
     one = (
         hits.groupBy(*at)
         .agg(F.collect_set("hit").alias("hits"))
@@ -202,40 +228,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .withColumn("strict", F.filter("hits", lambda h: ~F.exists(h["pairs"], lambda x: x["loose"])))
         .withColumn("hits", F.when(apart(pairs(F.col("kept"))), F.col("kept")).when(apart(pairs(F.col("strict"))), F.col("strict")))
         .where(F.size("hits") > 0)
+        .withColumn("plain", F.size(F.array_distinct(F.flatten(F.transform("hits", plain_at)))))
+        .where((F.col("kind") == 0) | (F.col("plain") >= F.greatest(F.lit(1), F.least(F.lit(PLAIN), "certain"))))
         .withColumn("covered", F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["item_width"] - 1)))))
     )
     same = F.forall(pairs(F.col("hits")), lambda x: x["a"] == x["b"])
     return one.groupBy("doc_id", "text_key", "item_id", "item_words").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("covered_words"), (~F.bool_or(same)).alias("reparameterised")
     )
-
-
-def _short_rows(texts: DataFrame, width: int, bits) -> DataFrame:
-    """Literal windows of fewer words, for items that have no more."""
-
-    def rows(batches):
-        powers = Powers()
-        for part, data, off in pieces(batches):
-            literal, _, _, first = canonical(data, off, powers)
-            n = np.diff(first)
-            count = np.maximum(n - width + 1, 0)
-            owner = np.repeat(np.arange(len(n)), count)
-            p = np.repeat(first[:-1], count) + spread(count)
-            h = powers.ranges(powers.prefix(literal), p, p + width, 43) if len(p) else np.zeros(0, U64)
-            keep = np.flatnonzero(sketch.may_repeat(bits.value, h))
-            if len(keep):
-                pick = pa.array(owner[keep])
-                none = pa.array(np.zeros(len(keep) + 1, np.int32))
-                empty = [pa.ListArray.from_arrays(none, pa.array(np.zeros(0, t))) for t in (np.int64, bool)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(pick), part.column("text_key").take(pick), pa.array((p - first[owner])[keep].astype(np.int32)),
-                        pa.array(np.full(len(keep), width, np.int32)), pa.array(np.zeros(len(keep), np.int32)), pa.array(h[keep].view(np.int64)), pa.array(n[owner[keep]].astype(np.int32)), *empty,
-                    ],
-                    names=["doc_id", "text_key", "start", "width", "kind", "hash", "words", "slots", "loose"],
-                )
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        rows, f"doc_id {kind}, text_key long, start int, width int, kind int, hash long, words int, slots array<long>, loose array<boolean>"
-    )
