@@ -68,6 +68,12 @@ def kg_relations(spark, sf_dir):
     return K.relations(K.entities(docs(spark, sf_dir).where("n_chars < 2000"))).select("doc_id", "subject", "object")
 
 
+@query("kg_relations_whole")
+def kg_relations_whole(spark, sf_dir):
+    """Related entities of all documents; the SQL of kg_relations, a self-join, is for those under 2,000 characters."""
+    return K.relations(K.entities(docs(spark, sf_dir))).select("doc_id", "subject", "object")
+
+
 @query(
     "kg_linking",
     """WITH m AS (SELECT DISTINCT c_mktsegment || 'S' AS name FROM customer UNION SELECT n_name FROM nation), k AS (SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 100, 'BUILDING'), x AS (SELECT m.name, min(id) AS id FROM m JOIN k ON lower(m.name) = lower(k.name) GROUP BY 1) SELECT name, id AS entity_id FROM x""",
