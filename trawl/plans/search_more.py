@@ -61,6 +61,16 @@ def query_spelling(spark, sf_dir):
     return Q.spelling(w, frames(spark)[1])
 
 
+@query(
+    "query_spelling_whole",
+    f"""WITH d(w) AS (SELECT unnest({lst(DICTIONARY)})), b AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(regexp_replace(text, '[^\\w\\s]', '', 'g')), '\\s+'), lambda x: x <> '')) AS word FROM benchmark), u AS (SELECT DISTINCT word FROM b),
+    c AS (SELECT word, w AS correction, levenshtein(word, w) AS edits FROM u, d WHERE levenshtein(word, w) <= 2) SELECT word, correction, edits::INT AS edits FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY edits, correction) = 1""",
+)
+def query_spelling_whole(spark, sf_dir):
+    w = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.regexp_replace("text", r"[^\w\s]", ""))).alias("word"))
+    return Q.spelling(w, frames(spark)[1])
+
+
 def results(spark, sf_dir):
     """Documents as results of sources: title the first 60 characters, url by id, score by length."""
     d = table(spark, sf_dir, "documents")

@@ -55,6 +55,11 @@ def text_without_diacritics(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.substring(T.without_diacritics(F.col("text")), 1, 80).alias("t"))
 
 
+@query("text_without_diacritics_whole", """SELECT doc_id, md5(translate(text, 'àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ', 'aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC')) AS h FROM documents""")
+def text_without_diacritics_whole(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.without_diacritics(F.col("text"))).alias("h"))
+
+
 @query(
     "text_typographic",
     "SELECT doc_id, md5(lower(trim(regexp_replace(replace(translate(text, '“”„‘’‚–—', '" + '"' * 3 + "''" * 3 + r"--'), '…', '...'), '\s+', ' ', 'g')))) AS h FROM documents",
