@@ -7,7 +7,7 @@ largest gain on what is left get tables too. A score is the sum of looked-up add
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -246,12 +246,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
     Only doc_id, text and the label are read, so other columns may have any name.
     """
     table = staged(feature_table(docs), "features")
-    model = docs.sparkSession.sparkContext.broadcast(train(table, labels, label))
+    # plain arrays and lists: a broadcast instance would need the package on every worker
+    model = docs.sparkSession.sparkContext.broadcast(astuple(train(table, labels, label)))
 
     def rows(batches):
+        additive = Additive(*model.value)
         for b in batches:
             x = b.column("features").flatten().to_numpy().reshape(-1, len(FEATURES)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.value.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(additive.score(x))], names=["doc_id", "score"])
 
     scored = table.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

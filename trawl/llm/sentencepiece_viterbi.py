@@ -28,7 +28,11 @@ PART_BYTES = 4_000_000
 
 @dataclass
 class Vocabulary:
-    """Pieces by their text, suffixes of pieces, and the bytes of every id."""
+    """Pieces by their text, suffixes of pieces, and the bytes of every id.
+
+    It is broadcast as a plain tuple, since an instance would need the package on every worker;
+    the cache in that tuple lives as long as the worker.
+    """
 
     table: dict[str, tuple[float, int]]  # a suffix that is no piece has id -1
     byte_ids: list[int]
@@ -37,6 +41,9 @@ class Vocabulary:
     off: np.ndarray
     cache: dict[int, tuple] = field(default_factory=dict)
 
+    def plain(self) -> tuple:
+        return self.table, self.byte_ids, self.unknown, self.data, self.off, self.cache
+
 
 def load(path: str = MODEL) -> Vocabulary:
     """The vocabulary of a model file; word marks must only stand at the start of a piece."""
@@ -164,14 +171,14 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     An empty text has no ids; a null text has null ids, no tokens and a true round_trip; very long
     words are one path. Input columns named like an output are replaced.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))  # bounded by the model file
+    vocabulary = docs.sparkSession.sparkContext.broadcast(load(model).plain())  # bounded by the model file
     out = ("ids", "n_tokens", "round_trip")
     docs = docs.drop(*out)
     names = docs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["ids array<int>, n_tokens long, round_trip boolean"])
 
     def rows(batches):
-        v, powers = vocabulary.value, Powers()
+        v, powers = Vocabulary(*vocabulary.value), Powers()
         for part, data, off in pieces(batches, most=PART_BYTES):
             ids, bound = encode_part(data, off, v, powers) if len(data) else (np.zeros(0, np.int32), np.zeros(len(off), np.int64))
             back, back_off = decode_part(ids, bound, v)
@@ -191,16 +198,17 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """``rows`` with decoded_text from ids; null ids give a null text, no ids an empty one."""
-    vocabulary = rows.sparkSession.sparkContext.broadcast(load(model))
+    vocabulary = rows.sparkSession.sparkContext.broadcast(load(model).plain())
     rows = rows.drop("decoded_text")
     names = rows.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["decoded_text string"])
 
     def texts(batches):
+        v = Vocabulary(*vocabulary.value)
         for b in batches:
             col = b.column(names.index("ids"))
             size = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy()
-            data, off = decode_part(col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)]), vocabulary.value)
+            data, off = decode_part(col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)]), v)
             raw = data.tobytes()
             text = [None if x else raw[a:z].decode("utf-8", "replace") for x, a, z in zip(pa.compute.is_null(col).to_pylist(), off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*names, "decoded_text"])

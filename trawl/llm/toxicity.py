@@ -223,17 +223,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFr
     """
     field = train(docs, labels, label)
     field.weights = field.weights.astype(np.float32)
-    model = docs.sparkSession.sparkContext.broadcast(field)
+    # plain arrays: a broadcast instance would need the package on every worker
+    model = docs.sparkSession.sparkContext.broadcast((field.weights, field.move, field.start))
 
     def rows(batches):
-        powers = Powers()
+        powers, crf = Powers(), Field(*model.value)
         for part, data, off in pieces(batches):
             starts, ends, first = words_of(data, off)
             n = np.diff(first)
             owner = np.repeat(np.arange(len(n)), n)
             fresh = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
-            if len(owner) and model.value.weights.any():
-                marginal = model.value.marginals(emission_slots(token_keys(data, starts, ends, powers), fresh), fresh)
+            if len(owner) and crf.weights.any():
+                marginal = crf.marginals(emission_slots(token_keys(data, starts, ends, powers), fresh), fresh)
             else:
                 marginal = np.zeros(len(owner))
             loud = marginal > FLOOR
