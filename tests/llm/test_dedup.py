@@ -60,15 +60,15 @@ def rows_of(spark, texts, **kw):
     return [(r.n_bytes, r.n_removed, len(r.removed_spans), hashlib.sha256(bytes(r.kept_bytes)).hexdigest()) for _, r in sorted(got.items())], got
 
 
-@pytest.mark.parametrize("cell", [1000, 1])
-def test_suffix_dedup_small(spark, cell):
+@pytest.mark.parametrize("cell_bytes", [500_000, 1000, 1])
+def test_suffix_dedup_small(spark, cell_bytes):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdéfg") for _ in range(rng.randint(1, 7)))
     passage = [" ".join(word() for _ in range(40)) for _ in range(5)]
     texts = [None, "", "short", "ab" * 90]
     texts += [" ".join([word(), rng.choice(passage)[rng.randint(0, 9) :], word(), rng.choice(passage), word()]) for _ in range(40)]
     texts += [texts[7]] * 3 + ["é" * 70, "x" + "é" * 70]
-    got, rows = rows_of(spark, texts, least=60, cell=cell, width_bits=16)
+    got, rows = rows_of(spark, texts, least=60, cell_bytes=cell_bytes, width_bits=16)
     assert got == brute_suffix(texts, 60)
     for i, t in enumerate(texts):  # spans of whole characters: what is left is text
         assert rows[i].kept_text is not None and len(rows[i].kept_text.encode()) >= len(rows[i].kept_bytes)
@@ -87,3 +87,14 @@ def test_suffix_dedup_documents(spark):
     got = sorted(query(spark, sf).collect())
     assert [tuple(r)[1:] for r in got] == want
     assert sum(w[1] for w in want) > 0
+
+
+def test_one_anchor_of_thousands_of_kinds(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    common = word(75)  # under the minimum of 80, so its anchors meet thousands of different windows
+    tails = [word(rng.randint(4, 40)) for _ in range(2500)]
+    texts = [word(rng.randint(0, 30)) + common + (rng.choice(tails) if i % 50 == 0 else tails[i % 2500]) for i in range(3000)]
+    got, _ = rows_of(spark, texts, least=80, cell_bytes=20_000, width_bits=16)
+    assert got == brute_suffix(texts, 80)
+    assert sum(r[1] > 0 for r in got) > 300

@@ -22,7 +22,7 @@ def test_stages_in_turn(spark):
     component = {i: c for i, (_, c, _) in brute(list(texts[1].items())).items()}
     assert set(texts[2]) == {i for i, c in component.items() if i == c}
     ids = sorted(texts[2])
-    gone = dict(zip(ids, brute_suffix([texts[2][i] for i in ids], 400)))
+    gone = dict(zip(ids, brute_suffix([texts[2][i] for i in ids], corpus_pipeline.REPEATED_BYTES)))
     for i in ids:
         n, removed, _, _ = gone[i]
         if i in texts[3]:

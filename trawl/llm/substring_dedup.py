@@ -32,7 +32,7 @@ def _segmented(batches, window, gram):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, width_bits: int = sketch.WIDTH_BITS) -> DataFrame:
-    """(doc_id, text_key, start, count): windows whose words also start in a smaller doc_id.
+    """(doc_id, text_key, _ranges): by text, runs (start, count) of windows that also start in a smaller doc_id.
 
     ``count`` windows begin at word ``start`` and the words after it. Rows without doc_id
     neither lose words nor make others lose any.
@@ -81,20 +81,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, width_bits: int = sk
     )
     seg = ["anchor", "hash", "count"]
     # equal segments: all but those of the least document go whole
-    least = found.groupBy(*seg).agg(F.min("doc_id").alias("least"), F.first("windows", ignorenulls=True).alias("windows"))
+    least = found.groupBy(*seg).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("windows", ignorenulls=True).alias("windows"))
     least = staged(least, "segments")
     # several different segments of one anchor: their windows are grouped one by one
     mixed = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     each = least.join(mixed, "anchor").select("anchor", "hash", "count", "least", F.posexplode("windows").alias("i", "window"))
     first = each.groupBy("anchor", "window").agg(F.min("least").alias("first"))
     later = each.join(first, ["anchor", "window"]).where("first < least").groupBy(*seg).agg(F.collect_list("i").alias("at"))
-    owners = least.select(*seg, "least").join(later, seg, "left")
-    hit = found.drop("windows").join(owners, seg).where("doc_id > least OR at IS NOT NULL")
-    whole = F.col("doc_id") > F.col("least")
-    return hit.select(
-        "doc_id", "text_key",
-        F.explode(F.when(whole, F.array(F.struct("start", "count"))).otherwise(F.transform("at", lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("count"))))).alias("w"),
-    ).select("doc_id", "text_key", "w.start", "w.count")
+    # a table of its own, so that both sides of the next join are plain exchanges, which AQE can split
+    owners = staged(least.select(*seg, "least", "most").join(later, seg, "left").where("most > least OR at IS NOT NULL").drop("most"), "owners")
+    # an owner is one row of its segment: as many rows as there are places, whatever repeats
+    whole = F.array(F.struct("start", "count"))
+    some = F.transform("at", lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("count")))
+    placed = F.when(F.col("doc_id") > F.col("least"), whole).otherwise(some)  # null where nothing goes
+    hit = found.drop("windows").join(owners, seg)
+    return hit.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(placed)).alias("_ranges"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, width_bits: int = sketch.WIDTH_BITS) -> DataFrame:
@@ -106,7 +107,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, width_bits: int = ske
     repeated rows (same id and text) get the same result; of rows that share an id but not the
     text, none makes the other lose words. Input columns named like an output are replaced.
     """
-    ranges = repeated_windows(docs, window, width_bits).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "count")).alias("_ranges"))
+    ranges = repeated_windows(docs, window, width_bits)
     docs = docs.drop(*OUT, "_ranges", "_text_key").withColumn("_text_key", F.xxhash64("text"))
     on = (docs["doc_id"] == ranges["doc_id"]) & (docs["_text_key"] == ranges["text_key"])
     both = docs.join(ranges, on, "left").select(*[docs[c] for c in docs.columns if c != "_text_key"], "_ranges")
