@@ -4,9 +4,9 @@ Every row is a point of three dimensions drawn from its text: log size, share of
 a character, and checksum. A node that stands for k shards is split along its widest dimension at
 the weighted quantile floor(k/2)/k, until it stands for one shard of the target bytes. Quantiles
 come from histograms that are refined inside the crossing bin; only that bin's row of each node
-reaches the driver. Ties on a value are ordered by a hash of the text, so equal texts stay together;
-a group of equal texts heavier than GROUP of a shard's target is ordered by doc_id instead and may
-be split anywhere.
+reaches the driver. Ties on a value are ordered by a hash of the text, so equal texts share a key and
+never part. The one exception is a group of equal texts that outweighs a whole shard's target and so
+fits no shard: its ties are ordered by a hash of doc_id, and cuts run through it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from trawl.llm.common import staged
 
 SHARDS = 24
-GROUP = 0.05  # of a shard's target bytes: heavier groups of equal texts are dealt by rows
 DIMENSIONS = 3
 BINS = 4096
 CLOSE = 0.0005  # of the target bytes: a crossing bin as light as this is split no further
@@ -35,8 +34,8 @@ def _points(docs: DataFrame, shards: int) -> DataFrame:
     )
     rows = staged(rows, "points")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = rows.groupBy("group").agg(F.sum("size").alias("w")).where(F.col("w") > GROUP * total / shards).select("group", F.lit(True).alias("heavy"))
-    # at most shards / GROUP groups can weigh that much: the broadcast is bounded
+    heavy = rows.groupBy("group").agg(F.sum("size").alias("w")).where(F.col("w") > total / shards).select("group", F.lit(True).alias("heavy"))
+    # fewer than ``shards`` groups can weigh that much: the broadcast is bounded
     rows = rows.join(F.broadcast(heavy), "group", "left")
     tie = F.shiftrightunsigned(F.when(F.col("heavy"), F.xxhash64("doc_id", "group")).otherwise(F.xxhash64("group")), 64 - _HIGH)
     top = (1 << _HIGH) - 1
@@ -92,7 +91,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs``.
 
     The law is ``bytes``: shards 0 to shards-1 hold nearly equal sums of size, the text's UTF-8
-    bytes plus 8. Equal texts share a shard unless they outweigh GROUP of its target. Null texts
+    bytes plus 8. Equal texts share a shard unless together they outweigh its target. Null texts
     count as empty (size 8, checksum 0); null ids are placed like others and numbered first;
     repeated rows get slots of their own. slot numbers a shard's rows from 0 without gaps. An
     empty table gives no rows. Only doc_id and text are read, so other columns may have any name.
