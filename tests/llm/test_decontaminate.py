@@ -98,3 +98,28 @@ def test_documents_by_brute_force(spark):
             want |= {(r.doc_id, k) for k in grams.get(tuple(w[i : i + 8]), ())}
     got = {(r.doc_id, r.item_id) for r in query(spark, sf).collect()}
     assert want and got == want
+
+
+def test_changed_values_beside_unchanged_words(spark):
+    item = "A train leaves the old station of Boston at 60 miles an hour and arrives after 3 hours of quiet travel, so how far did it go in total?"
+    texts = [
+        item.replace("Boston", "Denver").replace("60", "70").replace("3 hours", "5 hours"),  # literal windows agree, values don't
+        item.replace("Boston", "New York").replace("60", "70"),  # a name of two words is one value
+        item,
+        "He says so how far did it go in total? Nobody knows.",  # a literal window alone
+    ]
+    got = found(spark, texts, [item])
+    assert {k: v[1] for k, v in got.items()} == {(0, 0): True, (1, 0): True, (2, 0): False, (3, 0): False}
+    assert got[(0, 0)][0] == got[(1, 0)][0] == got[(2, 0)][0] == 29 and got[(3, 0)][0] == 8
+
+
+def test_other_languages_and_capitals(spark):
+    items = [
+        "Am Montag läuft Élodie sieben Kilometer in zwei Stunden und danach noch drei weitere bis nach Hause.",
+        "Ayer compró doce litros de leche para Óscar y gastó nueve euros en total durante dos días seguidos.",
+    ]
+    texts = [
+        "Am Dienstag läuft Àgnes neun Meilen in vier Tagen und danach noch fünf weitere bis nach Hause.".replace("Meilen", "km"),
+        "Ayer compró diez kilómetros de leche para Álvaro y gastó siete euros en total durante tres semanas seguidos.",
+    ]
+    assert {k: v[1] for k, v in found(spark, texts, items).items()} == {(0, 0): True, (1, 1): True}
