@@ -53,12 +53,12 @@ def near_copies(seed, n):
     return out + [(5000, None), (5001, ""), (5002, " \n"), (5003, out[0][1]), (5004, out[0][1].upper() if out[0][1].isascii() else out[0][1])]
 
 
-@pytest.mark.parametrize("tile", [1024, 8])
-def test_join_by_brute_force(spark, tile, monkeypatch):
+@pytest.mark.parametrize("tile_tokens", [400_000, 200])
+def test_join_by_brute_force(spark, tile_tokens, monkeypatch):
     monkeypatch.setattr("trawl.llm.ngram_join.HOT", 10)
     docs = near_copies(4, 220)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).selectExpr("*", "'x' AS n", "1 AS component_id")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join(df, tile=tile).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join(df, tile_tokens=tile_tokens).collect()}
     assert got == brute(docs)
 
 
@@ -78,3 +78,29 @@ def test_join_documents(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in query(spark, sf).collect()}
     assert got == want
     assert sum(v[2] for v in want.values()) > 50
+
+
+def test_join_of_other_ids_and_of_one_id_on_two_texts(spark):
+    docs = [(f"d{i:04}", t) for i, t in near_copies(9, 60)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join(df, cell_bits=15, tile_tokens=300).collect()}
+    assert got == brute(docs)
+    # id 1 stands on two texts, each with a near copy: neither link is lost
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (2, one + " more"), (1, two), (3, two + " more")]
+    got = sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 56, 1, 1), (1, 56, 1, 1), (2, 57, 1, 1), (3, 57, 1, 1)]
+
+
+def test_join_of_very_long_texts(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(5000)}" for _ in range(250_000)]
+    other = long[:]
+    for k in range(0, 250_000, 400):
+        other[k] = "changed"
+    far = long[:]
+    for k in range(0, 250_000, 10):
+        far[k] = "changed"
+    docs = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(far)), (4, "short")]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}

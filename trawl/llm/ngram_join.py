@@ -2,35 +2,46 @@
 
 Documents link when their sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-1. Sets go through one shuffle as 44-bit tokens, packed by cell of the token space, to learn exact
+1. Sets go through one shuffle as 64-bit tokens, packed by cell of the token space, to learn
    document frequencies; only tokens of two or more documents come back, packed by batch of
    documents. A token that is frequent within a batch travels as one count, so a common passage
    weighs as many entries as there are batches.
 2. A document's tokens in order of (frequency, token) begin with its unshared ones, which can't
    match; if they fill the prefix, the document links with nothing.
-3. Documents of equal sets are one class. Classes that share prefix tokens are gathered: the
-   components of token - least class stars only say who must meet.
-4. What must meet is joined on prefix tokens in blocks of bounded members (a large gathering is
-   dealt into tiles, and every pair of tiles is a block): pairs pass the length, positional and
-   suffix filters and are verified once, by their first common token.
+3. Documents of equal sets are one class. A class lives in a tile: classes with the same rarest
+   shared token and about the same length live together, those too heavy for a tile in several.
+4. The join is on prefix tokens, and says which tiles a class must visit: those where one of its
+   prefix tokens lives in a class of a length that may match. A class travels once to each pair
+   of tiles, whatever the number of tokens, so copies follow shared tokens, not components.
+5. In a pair of tiles, pairs of classes pass the length, positional and suffix filters and are
+   verified once, by their first common token. Only counts and links that connect leave it.
+
+Frequencies are kept in steps of an eighth of a doubling, which is an order like any other. Sets
+are compared by tokens: two sets of m and n shingles count one too many in common with a chance of
+m * n / 2**64 at most, 2e-11 for two texts of 20,000 words.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import U64, Powers, connected, mixed, pieces, shuffle_width, spread, staged, word_hashes, words_of
+from trawl.llm.common import U64, Powers, connected, mixed, pieces, shuffle_width, spread, staged, texts_of, word_hashes, words_of
 
 SHINGLE = 5
-CELL_BITS = 12  # 4,096 cells of 2**32 tokens; one more bit for each doubling beyond a terabyte keeps tokens apart
+CELL_BITS = 12  # of a token that name its cell, at least; one more for each doubling beyond CELL_TEXT a cell
+CELL_TEXT = 128_000_000  # bytes of text whose tokens share a cell
 HOT = 64  # entries of a token in a batch from which they travel as a count
-TILE = 1024  # classes of a tile
+SENT = 500_000  # sets that a task remembers to have sent
+KEPT = 1_000_000  # shared tokens that a task gathers before it sends them back
+TILE_TOKENS = 400_000  # shared tokens of a tile's classes
 BATCH_BYTES = 4_000_000
-_TOKEN = U64((1 << 44) - 1)
+BAND = 1.26  # between lengths of neighbouring bands: sets that link are a band apart at most
 
 
 def _prefix_length(n):
@@ -38,23 +49,23 @@ def _prefix_length(n):
 
 
 def shingle_sets(data, off, powers):
-    """(owner, token, n, s1, s2): distinct shingles as 44-bit tokens by text; size and 128-bit sum of each set."""
+    """(owner, token, n, s1, s2): distinct shingles by token and text; size and 128-bit sum of each set."""
     docs = len(off) - 1
     starts, ends, first = words_of(data, off)
     prefix = powers.prefix(word_hashes(data, starts, ends, powers, lower=True))
     n = np.diff(first)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     p = np.repeat(first[:-1], count) + spread(count)
-    h = powers.ranges(prefix, p, np.minimum(p + SHINGLE, np.repeat(first[1:], count)), 21)
-    bits = max(1, int(docs - 1).bit_length())
-    key = np.sort((np.repeat(np.arange(docs), count).astype(U64) << U64(64 - bits)) | (h >> U64(bits)))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    owner = (key >> U64(64 - bits)).astype(np.int64)
-    token = (key << U64(bits)) >> U64(20)
-    size = np.bincount(owner, minlength=docs)
-    at = np.concatenate([[0], np.cumsum(size)])
-    total = lambda seed: np.diff(np.concatenate([np.zeros(1, U64), np.cumsum(mixed(token, seed))])[at])
-    return owner, token, size, total(31), total(32)
+    token = powers.ranges(prefix, p, np.minimum(p + SHINGLE, np.repeat(first[1:], count)), 21)
+    order = np.argsort(token, kind="stable")  # texts stay in order within a token
+    token, owner = token[order], np.repeat(np.arange(docs), count)[order]
+    if len(token):
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
+        token, owner = token[new], owner[new]
+    sums = np.zeros((2, docs), U64)
+    for row, seed in zip(sums, (31, 32)):
+        np.add.at(row, owner, mixed(token, seed))
+    return owner, token, np.bincount(owner, minlength=docs), sums[0], sums[1]
 
 
 def _pack(*arrays):
@@ -62,57 +73,73 @@ def _pack(*arrays):
 
 
 def _unpack(blob, *kinds):
+    """Arrays of a packed blob; a kind that is a number stands for unsigned integers of so many bytes."""
     size = np.frombuffer(blob, np.uint32, len(kinds))
     out, at = [], 4 * len(kinds)
-    for n, kind in zip(size, kinds):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += int(n) * np.dtype(kind).itemsize
+    for n, kind in zip(size.tolist(), kinds):
+        if isinstance(kind, int):
+            out.append(np.frombuffer(blob, np.uint8, n * kind, at).reshape(n, kind))
+            at += n * kind
+        else:
+            out.append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
     return out
 
 
-_HOME = ("<i8", "<i4", "<u8", "<u8", "?", "<u8", "<u2")  # doc_id, n, s1, s2, has_id, hot token, hot owner
+def _narrow(x: np.ndarray, width: int) -> np.ndarray:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, : x.shape[1]] = x
+    return out.view("<u8").ravel()
+
+
+_HOME = ("u1", "<i4", "<u8", "<u8", "<u8", "<u2")  # ids, n, s1, s2, hot token, hot owner
 
 
 def _sets(docs: DataFrame, cell_bits: int) -> DataFrame:
-    """(doc_id, n, s1, s2, prefix, shared): for a document that may link, its shared tokens by
-    (frequency, token), and how many of them lie in its prefix."""
-    cells, rest = 1 << cell_bits, U64(44 - cell_bits)
-    low = U64((1 << (44 - cell_bits)) - 1)
-    width = 8 if 44 - cell_bits > 32 else 4
+    """(doc_id, n, s1, s2, prefix, shared, ranks): for a document that may link, its shared tokens by
+    (rank of frequency, token), and how many of them lie in its prefix."""
+    cells, rest = 1 << cell_bits, U64(64 - cell_bits)
+    low = U64((1 << (64 - cell_bits)) - 1)
+    width = -(-(64 - cell_bits) // 8)
+    batch_bytes = min(32_000_000, BATCH_BYTES << (cell_bits - min(cell_bits, 12)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def send(batches):
         powers, seen, seq = Powers(), set(), 0
         base = TaskContext.get().partitionId() << 24
-        for rows, data, off in pieces(batches, most=BATCH_BYTES):
+        for rows, data, off in pieces(batches, most=batch_bytes):
             owner, token, n, s1, s2 = shingle_sets(data, off, powers)
             # a set that this task has sent already needn't go again
             new = np.zeros(len(n), bool)
+            if len(seen) > SENT:
+                seen.clear()
             for i, k in enumerate(zip(n.tolist(), s1.tolist(), s2.tolist())):
                 if k not in seen:
                     seen.add(k)
                     new[i] = True
             mine = new[owner]
             owner, token = owner[mine].astype(np.uint16), token[mine]
-            order = np.argsort(token, kind="stable")
-            owner, token = owner[order], token[order]
             head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             runs = np.diff(np.append(head, len(token)))
             hot = runs > HOT
             many = np.repeat(hot, runs)
-            ids = rows.column("doc_id")
-            has = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
-            home = _pack(
-                pa.compute.fill_null(ids, 0).cast(pa.int64()).to_numpy().astype("<i8"), n.astype("<i4"), s1, s2, has, token[many], owner[many]
-            )
+            sink = pa.BufferOutputStream()
+            ids = pa.record_batch([rows.column("doc_id")], names=["doc_id"])
+            with pa.ipc.new_stream(sink, ids.schema) as to:
+                to.write_batch(ids)
+            home = _pack(np.frombuffer(sink.getvalue(), np.uint8), n.astype("<i4"), s1, s2, token[many], owner[many])
             batch = base | seq
             seq += 1
-            out_cell, out = [-1 - batch % cells], [home]
+            out_cell, out = [-1], [home]
             hot_token, hot_runs = token[head[hot]], runs[hot].astype(np.uint32)
             token, owner = token[~many], owner[~many]
-            cell = np.arange(cells + 1).astype(U64) << rest
-            a, b = np.searchsorted(token, cell), np.searchsorted(hot_token, cell)
-            rem = (token & low).astype(f"<u{width}")
-            hot_rem = (hot_token & low).astype(f"<u{width}")
+            cell = np.arange(cells).astype(U64) << rest
+            a, b = np.append(np.searchsorted(token, cell), len(token)), np.append(np.searchsorted(hot_token, cell), len(hot_token))
+            rem, hot_rem = _narrow(token & low, width), _narrow(hot_token & low, width)
             for c in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
                 out_cell.append(c)
                 out.append(_pack(rem[a[c] : a[c + 1]], owner[a[c] : a[c + 1]], hot_rem[b[c] : b[c + 1]], hot_runs[b[c] : b[c + 1]]))
@@ -120,79 +147,100 @@ def _sets(docs: DataFrame, cell_bits: int) -> DataFrame:
                 [pa.array(out_cell, pa.int32()), pa.array(np.full(len(out), batch)), pa.array(out, pa.binary())], names=["cell", "batch", "blob"]
             )
 
-    def count(batches):
+    def in_runs(batches):
+        """(key, rows) of successive rows with equal first column."""
+        key, rows = None, []
+        for part in batches:
+            for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                if row[0] != key and rows:
+                    yield key, rows
+                    rows = []
+                key = row[0]
+                rows.append(row[1:])
+        if rows:
+            yield key, rows
+
+    def counted_cell(c, rows):
+        """(batch, owner, token, rank) of a cell's tokens that two or more documents hold."""
         token, owner, batch, weight = [], [], [], []
-        for rows in batches:
-            for c, b, blob in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2)):
-                blob = blob.as_buffer()
-                if c < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([True]), pa.array([blob.to_pybytes()], pa.binary())], names=["batch", "home", "blob"])
-                    continue
-                rem, idx, hot, runs = _unpack(blob, f"<u{width}", "<u2", f"<u{width}", "<u4")
-                token.append((U64(c) << rest) | np.concatenate([rem, hot]).astype(U64))
-                owner.append(np.concatenate([idx, np.full(len(hot), 0xFFFF, np.uint16)]))
-                weight.append(np.concatenate([np.ones(len(rem), np.uint32), runs]))
-                batch.append(np.full(len(rem) + len(hot), b))
-        if not token:
-            return
+        for k, (_, blob) in enumerate(rows):
+            rem, idx, hot, runs = _unpack(blob.as_buffer(), width, "<u2", width, "<u4")
+            token += [_wide(rem), _wide(hot)]
+            owner += [idx, np.full(len(hot), 0xFFFF, np.uint16)]
+            weight += [np.ones(len(rem), np.uint32), runs]
+            batch.append(np.full(len(rem) + len(hot), k, np.int32))
         token, owner, batch, weight = map(np.concatenate, (token, owner, batch, weight))
         order = np.argsort(token, kind="stable")
         token = token[order]
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        df = np.add.reduceat(weight[order].astype(np.int64), head)
+        rank = np.minimum(8 * np.log2(df), 255).astype(np.uint8)
         runs = np.diff(np.append(head, len(token)))
-        df = np.repeat(np.add.reduceat(weight[order].astype(np.int64), head), runs)
-        keep = df > 1
+        keep = np.repeat(df > 1, runs)
         order = order[keep]
-        key = (np.minimum(df[keep], (1 << 19) - 1).astype(U64) << U64(44)) | token[keep]
-        owner, batch = owner[order], batch[order]
+        return np.array([b for b, _ in rows])[batch[order]], owner[order], (U64(c) << rest) | token[keep], np.repeat(rank, runs)[keep]
+
+    def packed(parts):
+        batch, owner, token, rank = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(batch, kind="stable")
-        batch, owner, key = batch[order], owner[order], key[order]
+        batch, owner, token, rank = batch[order], owner[order], token[order], rank[order]
         head = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])) if len(batch) else np.zeros(0, np.int64)
         ends = np.append(head[1:], len(batch))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(batch[head]), pa.array(np.zeros(len(head), bool)), pa.array([_pack(key[a:b], owner[a:b]) for a, b in zip(head, ends)], pa.binary())],
-            names=["batch", "home", "blob"],
-        )
+        blobs = [_pack(token[a:b], owner[a:b], rank[a:b]) for a, b in zip(head, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(batch[head], pa.int64()), pa.array(np.zeros(len(head), bool)), pa.array(blobs, pa.binary())], names=["batch", "home", "blob"])
+
+    def count(batches):
+        parts = []
+        for c, rows in in_runs(batches):
+            if c < 0:
+                for b, blob in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([True]), pa.array([blob.as_py()], pa.binary())], names=["batch", "home", "blob"])
+                continue
+            parts.append(counted_cell(c, rows))
+            if sum(len(x[0]) for x in parts) > KEPT:
+                yield packed(parts)
+                parts = []
+        if parts:
+            yield packed(parts)
 
     def resolve(batches):
-        homes, parts = {}, {}
-        for rows in batches:
-            for b, home, blob in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2)):
-                if home:
-                    homes[b] = blob.as_py()
-                else:
-                    parts.setdefault(b, []).append(_unpack(blob.as_py(), "<u8", "<u2"))
-        for b, blob in homes.items():
-            ids, n, s1, s2, has, hot, hot_owner = _unpack(blob, *_HOME)
-            got = parts.pop(b, [])
-            key = np.concatenate([x[0] for x in got] or [np.zeros(0, U64)])
-            owner = np.concatenate([x[1] for x in got] or [np.zeros(0, np.uint16)])
+        for _, rows in in_runs(batches):
+            ids, n, s1, s2, hot, hot_owner = next(_unpack(blob.as_py(), *_HOME) for home, blob in rows if home)
+            ids = pa.ipc.open_stream(pa.py_buffer(ids)).read_all().column(0).combine_chunks()
+            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            has = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
+            got = [_unpack(blob.as_py(), "<u8", "<u2", "u1") for home, blob in rows if not home]
+            none = (np.zeros(0, U64), np.zeros(0, np.uint16), np.zeros(0, np.uint8))
+            token, owner, rank = (np.concatenate(x) for x in zip(none, *got))
             common = owner == 0xFFFF
             if common.any():  # frequent in this batch: their owners stayed at home
-                table = np.sort(key[common] & _TOKEN), key[common][np.argsort(key[common] & _TOKEN)]
-                key = np.concatenate([key[~common], table[1][np.searchsorted(table[0], hot)]])
-                owner = np.concatenate([owner[~common], hot_owner])
-            order = np.lexsort((key, owner))
-            key, owner = key[order], owner[order]
+                by = np.argsort(token[common])
+                at = by[np.searchsorted(token[common][by], hot)]
+                token, owner, rank = (np.concatenate([x[~common], y]) for x, y in ((token, hot), (owner, hot_owner), (rank, rank[common][at])))
+            order = np.lexsort((token, rank, owner))
+            token, owner, rank = token[order], owner[order], rank[order]
             shared = np.bincount(owner, minlength=len(n))
-            at = np.concatenate([[0], np.cumsum(shared)])
             prefix = np.minimum(shared, _prefix_length(n) - (n - shared))
             prefix[(n == 0) | ~has] = 0
             prefix = np.maximum(prefix, 0)
             keep = np.repeat(prefix > 0, shared)
             bound = np.concatenate([[0], np.cumsum(np.where(prefix > 0, shared, 0))]).astype(np.int32)
+            ranks = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bound), pa.py_buffer(rank[keep].tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, mask=~has), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(prefix.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(bound), pa.array(key[keep].view(np.int64))),
+                    ids, pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(prefix.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(bound), pa.array(token[keep].view(np.int64))), ranks,
                 ],
-                names=["doc_id", "n", "s1", "s2", "prefix", "shared"],
+                names=["doc_id", "n", "s1", "s2", "prefix", "shared", "ranks"],
             )
 
     width_ = shuffle_width(docs.sparkSession)
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, "cell int, batch long, blob binary")
-    counted = sent.repartition(width_, "cell").mapInArrow(count, "batch long, home boolean, blob binary")
-    return counted.repartition(width_, "batch").mapInArrow(resolve, "doc_id long, n long, s1 long, s2 long, prefix int, shared array<long>")
+    sent = docs.select("doc_id", "text").mapInArrow(send, "cell int, batch long, blob binary")
+    # homes are spread by their batch; in a partition, a cell's or a batch's rows come together
+    by_cell = sent.repartition(width_, F.when(F.col("cell") < 0, -1 - F.col("batch")).otherwise(F.col("cell"))).sortWithinPartitions("cell")
+    counted = by_cell.mapInArrow(count, "batch long, home boolean, blob binary")
+    by_batch = counted.repartition(width_, "batch").sortWithinPartitions("batch")
+    return by_batch.mapInArrow(resolve, f"doc_id {kind}, n long, s1 long, s2 long, prefix int, shared array<long>, ranks binary")
 
 
 def _may_overlap(x: np.ndarray, y: np.ndarray, need: int, depth: int = 2) -> bool:
@@ -208,18 +256,23 @@ def _may_overlap(x: np.ndarray, y: np.ndarray, need: int, depth: int = 2) -> boo
     return most(x, y, depth) >= need
 
 
-def links(member: np.ndarray, n: np.ndarray, prefix: np.ndarray, tokens: np.ndarray, at: np.ndarray, tile: np.ndarray, copies: np.ndarray):
+def links(member: np.ndarray, n: np.ndarray, prefix: np.ndarray, tokens: np.ndarray, ranks: np.ndarray, at: np.ndarray, tile: np.ndarray, copies: np.ndarray, two: bool):
     """(link counts, least member reached) of the members of a block.
 
-    tokens[at[i]:at[i+1]] are member i's shared tokens in order. Members of unequal tile meet here
-    if the block has two tiles, members of equal tile if it has one.
+    tokens[at[i]:at[i+1]] are member i's shared tokens by (rank, token). In a block of two tiles
+    members of unequal tile meet, in a block of one tile all do.
     """
     size = np.diff(at)
     skip = n - size  # unshared tokens come first
     order = np.lexsort((member, n))
     found = np.zeros(len(member), np.int64)
     reached = np.arange(len(member))
-    tokens, code = np.unique(tokens, return_inverse=True)
+    by = np.lexsort((tokens, ranks))
+    new = np.ones(len(by), bool)
+    new[1:] = tokens[by[1:]] != tokens[by[:-1]]
+    code = np.empty(len(by), np.int64)
+    code[by] = np.cumsum(new) - 1
+    kinds = int(new.sum())
     take = prefix.astype(np.int64)
     entry = np.repeat(at[:-1], take) + spread(take)
     e_token, e_row, e_pos = code[entry], np.repeat(np.arange(len(member)), take), np.repeat(skip, take) + spread(take)
@@ -227,9 +280,8 @@ def links(member: np.ndarray, n: np.ndarray, prefix: np.ndarray, tokens: np.ndar
     rank[order] = np.arange(len(member))
     by = np.lexsort((rank[e_row], e_token))
     e_token, e_row, e_pos = e_token[by], e_row[by], e_pos[by]
-    lo, hi = np.searchsorted(e_token, np.arange(len(tokens))), np.searchsorted(e_token, np.arange(len(tokens)), "right")
-    two = tile.min() != tile.max() if len(tile) else False
-    mark = np.zeros(len(tokens), bool)
+    lo, hi = np.searchsorted(e_token, np.arange(kinds)), np.searchsorted(e_token, np.arange(kinds), "right")
+    mark = np.zeros(kinds, bool)
 
     def root(i):
         while reached[i] != i:
@@ -275,65 +327,72 @@ def links(member: np.ndarray, n: np.ndarray, prefix: np.ndarray, tokens: np.ndar
     return found, member[[root(i) for i in range(len(member))]]
 
 
-def ngram_join(docs: DataFrame, cell_bits: int = CELL_BITS, tile: int = TILE) -> DataFrame:
+def ngram_join(docs: DataFrame, cell_bits: int | None = None, tile_tokens: int = TILE_TOKENS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
     Words are runs outside \\x20 and \\x09-\\x0D with A-Z lowered; a set has the distinct 5-word
-    shingles, of fewer words the whole sequence as one. Null and empty texts have an empty set,
-    link with nothing and are their own component; rows with a null doc_id have their set's size,
-    no component and no links; repeated rows are copies of one class and link with each other.
-    n_links counts the other rows linked directly, copies included. Only doc_id and text are
-    read, so other columns may have any name.
+    shingles, of fewer words the whole sequence as one. Ids may have any type that has an order.
+    Null and empty texts have an empty set, link with nothing and are their own component; rows
+    with a null doc_id have their set's size, no component and no links; repeated rows are copies
+    of one class and link with each other. n_links counts the other rows linked directly, copies
+    included. Only doc_id and text are read, so other columns may have any name.
     """
+    if cell_bits is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        cell_bits = max(CELL_BITS, math.ceil(math.log2(max(1, size / CELL_TEXT))))
     sets = staged(_sets(docs, cell_bits), "sets")
     key = ["n", "s1", "s2"]
     known = sets.where("doc_id IS NOT NULL AND n > 0")
-    classes = staged(
-        known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("prefix") > 0, F.col("doc_id"))).alias("holder")), "classes"
-    )
-    holders = classes.where("holder IS NOT NULL").select(*key, "rep", "copies", "holder")
-    index = (
-        known.where("prefix > 0").select(F.col("doc_id").alias("holder"), *key, F.expr("slice(shared, 1, prefix)").alias("tokens"))
-        .join(holders, [*key, "holder"]).dropDuplicates(["rep"]).select("rep", F.explode("tokens").alias("token"))
-    )
-    index = staged(index, "prefixes")
-    least = index.groupBy("token").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
-    meet = connected(index.join(least, "token").select(F.col("rep").alias("a"), F.col("least").alias("b")), "gathered")
-    meet = staged(meet, "gatherings")
-    sizes = meet.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    blocks = max(1, round((sizes.agg(F.sum("members")).first()[0] or 0) / (2 * tile)))
-    tiles = F.ceil(F.col("members") / tile).cast("int")
-    who = (
-        meet.join(sizes, "component").withColumnRenamed("id", "rep").withColumn("tiles", tiles)
-        .withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("tiles")).cast("int"))
-        .join(holders, "rep")
-    )
-    loaded = known.where("prefix > 0").select(F.col("doc_id").alias("holder"), *key, "prefix", "shared").join(who, [*key, "holder"]).dropDuplicates(["rep"])
-    dealt = loaded.select(
-        "rep", "copies", "n", "prefix", "shared", "tile", "tiles", "component",
-        F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))).alias("with"),
-    ).withColumn(
-        "block",
-        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("component"), F.lit(blocks)))
-        .otherwise(F.xxhash64("component", F.least("tile", "with"), F.greatest("tile", "with"))),
+    classes = known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("prefix") > 0, F.col("doc_id"))).alias("holder"))
+    # numbered where they are written: a class is more than its least id, which rows of other texts may share
+    classes = staged(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    holders = classes.where("holder IS NOT NULL").select(*key, "holder", "class", "copies")
+    loads = known.where("prefix > 0").withColumnRenamed("doc_id", "holder")
+    one = [*key, "holder"]
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
+    weight = (F.length("ranks") + 1).alias("weight")
+    index = loads.select(*one, weight, F.expr("slice(shared, 1, prefix)").alias("tokens")).join(holders, one).dropDuplicates(one)
+    index = staged(index.select("class", band.alias("band"), "weight", F.posexplode("tokens").alias("pos", "token")), "prefixes")
+    shared = index.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("token")
+    index = staged(index.join(shared, "token"), "postings")
+    anchors = index.groupBy("class", "band", "weight").agg(F.min(F.struct("pos", "token"))["token"].alias("anchor"))
+    anchors = staged(anchors, "anchors")
+    tiles = max(1, math.ceil((anchors.agg(F.sum("weight")).first()[0] or 0) / tile_tokens))
+    together = ["anchor", "band"]
+    heavy = anchors.groupBy(*together).agg(F.ceil(F.sum("weight") / tile_tokens).alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("class"), F.col("parts")), F.lit(0))
+    placed = anchors.join(heavy, together, "left").select("class", F.pmod(F.xxhash64(*together, part), F.lit(tiles)).alias("tile"))
+    index = staged(index.select("class", "band", "token").join(placed, "class"), "placed")
+    homes = index.select("token", "band", F.col("tile").alias("other")).distinct()
+    homes = homes.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    visits = index.join(homes, ["token", "band"]).select("class", "tile", "other").distinct()
+    who = visits.groupBy("class", "tile").agg(F.collect_list("other").alias("others")).join(holders, "class")
+    dealt = (
+        loads.select(*one, "prefix", "shared", "ranks").join(who, one).dropDuplicates(one)
+        .select("class", "copies", "n", "prefix", "shared", "ranks", "tile", F.explode("others").alias("other"))
+        .withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other")).drop("other")
     )
 
     def join(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         col = lambda c: group[c].to_numpy().astype(np.int64)
-        shared = group["shared"].combine_chunks()
-        shared = shared.chunk(0) if isinstance(shared, pa.ChunkedArray) else shared
+        flat = lambda c: group[c].combine_chunks().chunk(0) if isinstance(group[c].combine_chunks(), pa.ChunkedArray) else group[c].combine_chunks()
+        shared, (ranks, _) = flat("shared"), texts_of(flat("ranks"))
         at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(shared).to_numpy())])
-        found, reached = links(col("rep"), col("n"), col("prefix"), shared.flatten().to_numpy().view(U64), at, col("tile") if col("tiles").max() > 1 else np.zeros(len(at) - 1), col("copies"))
-        return pa.table({"rep": col("rep"), "reached": reached, "links": found, "tiled": col("tiles") > 1})
-
-    linked = staged(dealt.groupBy("block").applyInArrow(join, "rep long, reached long, links long, tiled boolean"), "links")
-    far = connected(linked.where("tiled").select(F.col("rep").alias("a"), F.col("reached").alias("b")), "tiled")
-    near = linked.groupBy("rep").agg(F.min("reached").alias("reached"), F.sum("links").alias("links"))
-    found = near.join(far, near["rep"] == far["id"], "left").select("rep", F.coalesce("component", "reached").alias("component"), "links")
+        member = col("class")
+        found, reached = links(member, col("n"), col("prefix"), shared.flatten().to_numpy().view(U64), ranks, at, col("tile"), col("copies"), col("lo")[0] != col("hi")[0])
+        hit = np.flatnonzero(found)
+        return pa.table({"class": member[hit], "reached": reached[hit], "links": found[hit]})
+
+    linked = staged(dealt.groupBy("lo", "hi").applyInArrow(join, "class long, reached long, links long"), "links")
+    component = staged(connected(linked.select(F.col("class").alias("a"), F.col("reached").alias("b")), "joined"), "joined")
+    member = classes.select("class", "rep").join(component, F.col("class") == F.col("id"))
+    least = member.groupBy("component").agg(F.min("rep").alias("least"))
+    named = component.join(least, "component").select(F.col("id").alias("class"), "least")
+    total = linked.groupBy("class").agg(F.sum("links").alias("links"))
     owner = staged(
-        classes.join(found, "rep", "left").select(
-            *key, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+        classes.join(total, "class", "left").join(named, "class", "left").select(
+            *key, F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
         ),
         "owners",
     )
