@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import staged
+from trawl.llm.common import staged, staging, unstage
 from trawl.llm.decontaminate import contaminated
 from trawl.llm.ngram_join import ngram_join
 from trawl.llm.quality import quality_scores
@@ -68,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole table ``documents``; a stage's own tables go when its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with staging(spark):
+            docs = staged(stage(spark, docs, sf_dir), name, keep=True)
+        unstage(*last)
+        last = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ subtraction and a product whatever its length.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -29,20 +30,54 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: computed once, and safe from lost executors."""
+_scopes: list[list[str]] = []
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: computed once, and safe from lost executors.
+
+    The files stay until the ``staging`` scope around them ends, with ``keep`` until the next outer one does.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for paths in _scopes[-2:-1] if keep else _scopes[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unstage(*dfs: DataFrame) -> None:
     """Delete the files of staged tables that nothing will read again."""
     for df in dfs:
         for f in {os.path.dirname(x) for x in df.inputFiles()}:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, f)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession):
+    """A scope at whose end the tables staged in it are deleted; what it returns must be written by then."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in paths:
+            _delete(spark, path)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with marks appended to those that a column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:

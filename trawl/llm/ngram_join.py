@@ -359,7 +359,8 @@ def ngram_join(docs: DataFrame, cell_bits: int | None = None, tile_tokens: int =
     anchors = staged(anchors, "anchors")
     tiles = max(1, math.ceil((anchors.agg(F.sum("weight")).first()[0] or 0) / tile_tokens))
     together = ["anchor", "band"]
-    heavy = anchors.groupBy(*together).agg(F.ceil(F.sum("weight") / tile_tokens).alias("parts")).where("parts > 1")
+    # staged, so that AQE can split the join with a common anchor's classes
+    heavy = staged(anchors.groupBy(*together).agg(F.ceil(F.sum("weight") / tile_tokens).alias("parts")).where("parts > 1"), "heavy")
     part = F.coalesce(F.pmod(F.xxhash64("class"), F.col("parts")), F.lit(0))
     placed = anchors.join(heavy, together, "left").select("class", F.pmod(F.xxhash64(*together, part), F.lit(tiles)).alias("tile"))
     index = staged(index.select("class", "band", "token").join(placed, "class"), "placed")

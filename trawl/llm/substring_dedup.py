@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm import sketch
-from trawl.llm.common import Powers, pieces, spread, staged, word_hashes, words_of
+from trawl.llm.common import Powers, free, pieces, spread, staged, word_hashes, words_of
 from trawl.llm.winnow import segments
 
 WINDOW = 50
@@ -108,16 +108,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, width_bits: int = ske
     text, none makes the other lose words. Input columns named like an output are replaced.
     """
     ranges = repeated_windows(docs, window, width_bits)
-    docs = docs.drop(*OUT, "_ranges", "_text_key").withColumn("_text_key", F.xxhash64("text"))
-    on = (docs["doc_id"] == ranges["doc_id"]) & (docs["_text_key"] == ranges["text_key"])
-    both = docs.join(ranges, on, "left").select(*[docs[c] for c in docs.columns if c != "_text_key"], "_ranges")
-    keep = [f for f in both.schema.fields if f.name != "_ranges"]
+    docs = docs.drop(*OUT)
+    key, held, owner = free(docs, "_text_key", "_ranges", "_owner")
+    ranges = ranges.select(F.col("doc_id").alias(owner), F.col("text_key").alias(key), F.col("_ranges").alias(held))
+    docs = docs.withColumn(f"{key}2", F.xxhash64("text"))
+    both = docs.join(ranges, (docs["doc_id"] == ranges[owner]) & (docs[f"{key}2"] == ranges[key]), "left").drop(key, f"{key}2", owner)
+    keep = [f for f in both.schema.fields if f.name != held]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_words long", "n_removed long", "kept_text string"])
 
     def cut(batches):
         for rows, data, off in pieces(batches):
             starts, ends, first = words_of(data, off)
-            ranges = rows.column(rows.schema.get_field_index("_ranges"))
+            ranges = rows.column(rows.schema.get_field_index(held))
             # +1 where a covered run starts, -1 past its end, summed over the words
             step = np.zeros(len(starts) + 1, np.int64)
             flat = ranges.flatten()

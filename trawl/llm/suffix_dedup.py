@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawl.llm import sketch
 from trawl.llm.bwt import repeated_starts
-from trawl.llm.common import Powers, byte_codes, pieces, spread, staged, texts_of
+from trawl.llm.common import Powers, byte_codes, free, pieces, spread, staged, texts_of
 from trawl.llm.winnow import segments
 
 LEAST = 400
@@ -31,8 +31,12 @@ OUT = ("n_bytes", "n_removed", "removed_spans", "kept_bytes", "kept_text")
 _KEY = ("_key1", "_key2")
 
 
+def _text_keys() -> tuple[Column, Column]:
+    return F.xxhash64("text"), F.hash(F.coalesce("text", F.lit("")), F.lit(7))
+
+
 def _keys(df: DataFrame) -> DataFrame:
-    return df.withColumn("_key1", F.xxhash64("text")).withColumn("_key2", F.hash(F.coalesce("text", F.lit("")), F.lit(7)))
+    return df.withColumns(dict(zip(_KEY, _text_keys())))
 
 
 def _segmented(batches, least, gram):
@@ -192,9 +196,11 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, cell_bytes: int = CELL_BYT
     replaced.
     """
     ranges = repeated_strings(docs, least, cell_bytes, width_bits)
-    docs = _keys(docs.drop(*OUT, "_ranges", *_KEY))
-    both = docs.join(ranges, list(_KEY), "left").drop(*_KEY)
-    keep = [f for f in both.schema.fields if f.name != "_ranges"]
+    docs = docs.drop(*OUT)
+    keys, (held,) = free(docs, *_KEY), free(docs, "_ranges")
+    ranges = ranges.select(*[F.col(k).alias(x) for k, x in zip(_KEY, keys)], F.col("_ranges").alias(held))
+    both = docs.withColumns(dict(zip(keys, _text_keys()))).join(ranges, keys, "left").drop(*keys)
+    keep = docs.schema.fields
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in keep]
         + ["n_bytes long, n_removed long, removed_spans array<struct<start:long,end:long>>, kept_bytes binary, kept_text string"]
@@ -206,7 +212,7 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, cell_bytes: int = CELL_BYT
 
     def cut(batches):
         for rows, data, off in pieces(batches):
-            ranges = rows.column(rows.schema.get_field_index("_ranges"))
+            ranges = rows.column(rows.schema.get_field_index(held))
             flat = ranges.flatten()
             gone = np.zeros(len(data), bool)
             if len(flat):

@@ -16,6 +16,7 @@ from trawl.llm.common import staged
 
 FANOUT = 16
 FILE_RECORDS = 4096  # ids of a file
+NULL_FILES = 1 << 16  # over which records without an id are dealt
 LEVELS = 4  # of nodes above a record: enough for FANOUT ** LEVELS records of a file
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -36,11 +37,12 @@ def layout(pages: DataFrame, with_record: bool = True) -> DataFrame:
 
     Records are hashed where they are read; without ``with_record`` only hashes and lengths move.
     Files hold FILE_RECORDS ids each, ordered by id and, for repeated ids, by content. Pages are
-    few to an id; ids repeated beyond FANOUT ** LEVELS rows of a file would need more levels. Null
-    ids go to file -1, null pages are empty bodies, null URLs empty.
+    few to an id; ids repeated beyond FANOUT ** LEVELS rows of a file would need more levels. Rows
+    without an id are dealt to files -1 to -NULL_FILES by their hash, null pages are empty bodies,
+    null URLs empty.
     """
     rows = pages.select("page_id", record(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
-    file = F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS).cast("long"), F.lit(-1).cast("long"))
+    file = F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS).cast("long"), -1 - F.pmod(F.xxhash64("record"), F.lit(NULL_FILES)))
     rows = rows.select("page_id", file.alias("file"), (F.octet_length("record") + 4).cast("long").alias("length"), F.sha2("record", 256).alias("sha256"), *["record"] * with_record)
     order = W.partitionBy("file").orderBy("page_id", "sha256")
     return rows.select(
