@@ -3,27 +3,31 @@
 Unit vectors of cosine c lie at squared distance 2 - 2c. After a rotation their coordinates are
 dealt into blocks; the squared distance is the sum over blocks, so a pair within the whole budget
 is within its proportional share in at least one block. Every block is range-joined on its leading
-coordinate (strips as wide as the block's radius, each met with itself and the next), distances in
-the block filter, and a pair is verified with the original vectors in the first block that finds
-it, so it counts once. Strips are dealt into tiles of bounded rows.
+coordinates (cells as wide as the block's radius, each met with itself and its later neighbours;
+more rows take more coordinates), in tiles of bounded rows. What travels to the range join is a
+block's coordinates in 16 bits, and what comes back is which rows have a partner there; only their
+vectors are fetched. A pair is verified with the original vectors in the first block that finds
+it, so it counts once.
 """
 
 from __future__ import annotations
 
-import math
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import connected, staged
+from trawl.llm.common import connected, staged, texts_of
 
 THRESHOLD = 0.9
 BLOCKS = 4
-TILE = 16_384  # rows of a strip in one tile: a megabyte of block coordinates
+TILE = 16_384  # rows of a cell in one tile: half a megabyte of block coordinates
+CELLS = 20_000  # of all blocks, at most: their counts are broadcast
 SAMPLE = 10_000  # vectors that the rotation is fitted on, at most: those of least hash
-SLACK = 1e-5  # of squared distance, for coordinates kept in single precision
+SLACK = 1e-5  # of squared distance, for rounding
+GRAIN = 32_767  # steps of a coordinate from 0 to 1
 
 
 def _rotation(sample: np.ndarray, d: int, blocks: int) -> np.ndarray:
@@ -38,10 +42,6 @@ def _vectors(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, d).astype(np.float64)
 
 
-def _strip(lead: np.ndarray, radius: float) -> np.ndarray:
-    return np.floor(lead / radius).astype(np.int32)
-
-
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
@@ -58,19 +58,23 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     )
     key = ["h1", "h2", "d"]
     rows = vectors.select("vec_id", "embedding", good.alias("good"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.reverse("embedding"), F.lit(1)).alias("h2"), F.size("embedding").alias("d"))
-    classes = staged(rows.where("good").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")), "vectors")
+    classes = rows.where("good").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+    # numbered where they are written: a class is more than its least id, which rows of other vectors may share
+    classes = staged(classes.withColumn("class", F.monotonically_increasing_id()), "vectors")
     found = None
-    for d in [r[0] for r in classes.select("d").distinct().collect()]:  # lengths of vectors, not data
-        part = _links(spark, classes.where(F.col("d") == d), d, threshold, min(blocks, d), tile)
+    for d, n in classes.groupBy("d").count().collect():  # lengths of vectors, not data
+        part = _links(spark, classes.where(F.col("d") == d), d, n, threshold, min(blocks, d), tile)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], "rep long, reached long, links long")
+        found = spark.createDataFrame([], "class long, reached long, links long")
     found = staged(found, "vector-links")
-    component = connected(found.select(F.col("rep").alias("a"), F.col("reached").alias("b")), "vector-components")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    component = staged(connected(found.select(F.col("class").alias("a"), F.col("reached").alias("b")), "vector-components"), "vector-components")
+    least = classes.select("class", "rep").join(component, F.col("class") == F.col("id")).groupBy("component").agg(F.min("rep").alias("least"))
+    named = component.join(least, "component").select(F.col("id").alias("class"), "least")
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
     owner = staged(
-        classes.drop("embedding").join(links, "rep", "left").join(component, F.col("rep") == F.col("id"), "left")
-        .select(*key, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")),
+        classes.drop("embedding").join(links, "class", "left").join(named, "class", "left")
+        .select(*key, F.coalesce("least", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")),
         "vector-owners",
     )
     out = rows.select("vec_id", "good", *key).join(owner, key, "left")
@@ -81,42 +85,85 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     )
 
 
-def _links(spark, classes: DataFrame, d: int, threshold: float, blocks: int, tile: int) -> DataFrame:
-    """(rep, reached, links): link counts, and links enough to connect what is connected."""
+def _links(spark, classes: DataFrame, d: int, n: int, threshold: float, blocks: int, tile: int) -> DataFrame:
+    """(class, reached, links): link counts, and links enough to connect what is connected."""
     budget = 2 - 2 * threshold
     size = [len(range(b, d, blocks)) for b in range(blocks)]
     edge = np.concatenate([[0], np.cumsum(size)])
     share = np.array([budget * s / d for s in size]) + SLACK
     radius = np.sqrt(share)
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow().combine_chunks()
+    # of two rounded rows: the error's length, and what it may add to a squared distance
+    error = np.sqrt(size) / GRAIN
+    reach = (share + 2 * radius * error + error**2 + SLACK).astype(np.float32)
+    # coordinates of unit vectors lie in [-1, 1]: cells are bounded whatever the rows
+    across = 2 / radius.min() + 2
+    depth = 1
+    while depth < min(size) and blocks * across ** (depth + 1) <= CELLS and n > 4 * tile * 3 ** (depth - 1):
+        depth += 1
+    sample = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("embedding").toArrow().combine_chunks()
     sample = _vectors(sample["embedding"].chunk(0), d) if sample.num_rows else np.zeros((0, d))
     axes = spark.sparkContext.broadcast(_rotation(sample, d, blocks))
 
     def rotated(x: np.ndarray) -> np.ndarray:
-        return ((x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes.value).astype(np.float32)
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes.value
 
-    def strips(batches):
+    def cells(batches):
         for b in batches:
             r = rotated(_vectors(b.column("embedding"), d))
-            at = np.stack([_strip(r[:, edge[k]], radius[k]) for k in range(blocks)], axis=1)
-            strip = pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), blocks).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("copies"), b.column("embedding"), strip], names=["rep", "copies", "embedding", "strips"])
-
-    flat = staged(classes.select("rep", "copies", "embedding").mapInArrow(strips, "rep long, copies long, embedding array<float>, strips array<int>"), "strips")
-    placed = flat.select("rep", F.posexplode("strips").alias("block", "strip"))
-    tiles = placed.groupBy("block", "strip").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    # coordinates of unit vectors are within [-1, 1]: a block has at most 2 / radius + 2 strips
-    near = tiles.select("block", "strip", "tiles").alias("a").join(
-        tiles.select(F.col("block").alias("b2"), F.col("strip").alias("s2"), F.col("tiles").alias("t2")), (F.col("block") == F.col("b2")) & (F.abs(F.col("s2") - F.col("strip")) <= 1)
-    ).select("block", "strip", "tiles", "s2", "t2")
+            at = np.zeros((len(r), blocks), np.int64)
+            for k in range(blocks):
+                for i in range(depth):
+                    at[:, k] = (at[:, k] << 12) + np.floor(r[:, edge[k] + i] / radius[k]).astype(np.int64) + 2048
+            cell = pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), blocks).cast(pa.list_(pa.int64()))
+            grain = np.rint(np.clip(r, -1, 1) * GRAIN).astype("<i2")
+            bound = pa.py_buffer((np.arange(len(r) + 1) * 2 * d).astype(np.int32))
+            coords = pa.Array.from_buffers(pa.binary(), len(r), [None, bound, pa.py_buffer(np.ascontiguousarray(grain))])
+            yield pa.RecordBatch.from_arrays([b.column("class"), cell, coords], names=["class", "cells", "coords"])
+
+    flat = staged(classes.select("class", "embedding").mapInArrow(cells, "class long, cells array<long>, coords binary"), "cells")
+    placed = flat.select(F.posexplode("cells").alias("block", "cell"))
+    tiles = placed.groupBy("block", "cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    tiles = F.broadcast(staged(tiles, "tiles"))  # CELLS rows at most, or those of one coordinate
+    steps = [sum(o << (12 * (depth - 1 - i)) for i, o in enumerate(step)) for step in product((-1, 0, 1), repeat=depth) if step >= (0,) * depth]
+    part = F.lit(None).cast("binary")
+    for k in range(blocks):
+        part = F.when(F.col("block") == k, F.substring("coords", int(2 * edge[k] + 1), 2 * size[k])).otherwise(part)
+    # a row is at home in its own cell and a guest in those that it is a later neighbour of; of
+    # a cell's tiles, it is at home in one and a guest in those before
     dealt = (
-        flat.select("rep", "copies", "embedding", F.posexplode("strips").alias("block", "strip"))
-        .join(F.broadcast(near), ["block", "strip"])
-        .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-        .withColumn("t2", F.explode(F.sequence(F.lit(0), F.col("t2") - 1)))
-    )
-    mine, other = F.struct("strip", "tile"), F.struct(F.col("s2").alias("strip"), F.col("t2").alias("tile"))
-    dealt = dealt.select("rep", "copies", "embedding", "block", F.least(mine, other).alias("lo"), F.greatest(mine, other).alias("hi"), (mine > other).alias("late"))
+        flat.select("class", "coords", F.posexplode("cells").alias("block", "home")).select("class", "block", "home", part.alias("coords"))
+        .withColumn("cell", F.explode(F.transform(F.array(*[F.lit(s) for s in steps]), lambda s: F.col("home") - s)))
+        .join(tiles, ["block", "cell"])
+        .withColumn("mine", F.when(F.col("cell") == F.col("home"), F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")))
+        .withColumn("tile", F.explode(F.sequence(F.lit(0), F.coalesce("mine", F.col("tiles") - 1))))
+        .select("class", "block", "cell", "tile", "coords", F.coalesce(F.col("mine") != F.col("tile"), F.lit(True)).alias("guest"))
+    )
+
+    def near(sub: np.ndarray, guest: np.ndarray, most: np.float32):
+        """(rows, columns) of pairs within reach, of which one at least is at home, a part at a time."""
+        left = np.flatnonzero(~guest)
+        right = np.concatenate([left, np.flatnonzero(guest)])
+        # one product gives squared distances: (-2 a, |a|^2, 1) . (b, 1, |b|^2)
+        norm, one = (sub * sub).sum(1, keepdims=True), np.ones((len(sub), 1), np.float32)
+        lhs, rhs = np.hstack([-2 * sub, norm, one]), np.ascontiguousarray(np.hstack([sub, one, norm])[right].T)
+        for at in range(0, len(left), 512):
+            rows = left[at : at + 512]
+            i, j = np.divmod(np.flatnonzero(lhs[rows] @ rhs[:, at:] <= most), len(right) - at)
+            ok = i < j  # of those at home, the upper triangle
+            yield rows[i[ok]], right[j[ok] + at]
+
+    def partners(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        b = group["block"][0].as_py()
+        data, _ = texts_of(group["coords"].combine_chunks().chunk(0) if isinstance(group["coords"].combine_chunks(), pa.ChunkedArray) else group["coords"].combine_chunks())
+        sub = np.frombuffer(data.tobytes(), "<i2").reshape(-1, size[b]).astype(np.float32) / np.float32(GRAIN)
+        has = np.zeros(len(sub), bool)
+        for p, q in near(sub, group["guest"].to_numpy(), reach[b]):
+            has[p] = True
+            has[q] = True
+        return group.select(["class", "block", "cell", "tile", "guest"]).filter(pa.array(has))
+
+    met = staged(dealt.groupBy("block", "cell", "tile").applyInArrow(partners, "class long, block int, cell long, tile int, guest boolean"), "partners")
 
     def join(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -124,17 +171,9 @@ def _links(spark, classes: DataFrame, d: int, threshold: float, blocks: int, til
         emb = group["embedding"].combine_chunks()
         x = _vectors(emb.chunk(0) if isinstance(emb, pa.ChunkedArray) else emb, d)
         r = rotated(x)
-        rep, copies, late = (group[c].to_numpy() for c in ("rep", "copies", "late"))
-        same = group["lo"][0].as_py() == group["hi"][0].as_py()
-        left = np.arange(len(rep)) if same else np.flatnonzero(~late)
-        right = left if same else np.flatnonzero(late)
-        sub = r[:, edge[b] : edge[b + 1]]
-        # one product gives squared distances: (-2 a, |a|^2, 1) . (b, 1, |b|^2)
-        norm, one = (sub * sub).sum(1, keepdims=True), np.ones((len(sub), 1), np.float32)
-        lhs, rhs = np.hstack([-2 * sub, norm, one]), np.hstack([sub, one, norm])
-        rhs_right = np.ascontiguousarray(rhs[right].T)
-        links = np.zeros(len(rep), np.int64)
-        reached = np.arange(len(rep))
+        member, copies = group["class"].to_numpy(), group["copies"].to_numpy()
+        links = np.zeros(len(member), np.int64)
+        reached = np.arange(len(member))
 
         def root(i):
             while reached[i] != i:
@@ -142,16 +181,10 @@ def _links(spark, classes: DataFrame, d: int, threshold: float, blocks: int, til
                 i = reached[i]
             return i
 
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            skip = at if same else 0  # of a tile with itself, the upper triangle
-            i, j = np.divmod(np.flatnonzero(lhs[rows] @ rhs_right[:, skip:] <= np.float32(share[b] + SLACK)), len(right) - skip)
-            i, j = rows[i], right[j + skip]
-            if same:
-                i, j = i[i < j], j[i < j]
+        for i, j in near(r[:, edge[b] : edge[b + 1]].astype(np.float32), group["guest"].to_numpy(), np.float32(share[b] + SLACK)):
             for k in range(0, len(i), 50_000):
                 p, q = i[k : k + 50_000], j[k : k + 50_000]
-                apart = r[p].astype(np.float64) - r[q]
+                apart = r[p] - r[q]
                 inside = np.stack([(apart[:, edge[c] : edge[c + 1]] ** 2).sum(1) <= share[c] for c in range(b + 1)], axis=1)
                 first = inside[:, b] & ~inside[:, :b].any(1)  # the first block that finds it
                 p, q = p[first], q[first]
@@ -162,9 +195,10 @@ def _links(spark, classes: DataFrame, d: int, threshold: float, blocks: int, til
                 for m, n in zip(p.tolist(), q.tolist()):
                     m, n = root(m), root(n)
                     if m != n:
-                        m, n = (m, n) if rep[m] < rep[n] else (n, m)
+                        m, n = (m, n) if member[m] < member[n] else (n, m)
                         reached[n] = m
         hit = np.flatnonzero(links)
-        return pa.table({"rep": rep[hit], "reached": rep[[root(i) for i in hit.tolist()]] if len(hit) else rep[hit], "links": links[hit]})
+        return pa.table({"class": member[hit], "reached": member[[root(i) for i in hit.tolist()]] if len(hit) else member[hit], "links": links[hit]})
 
-    return dealt.groupBy("block", "lo", "hi").applyInArrow(join, "rep long, reached long, links long")
+    whole = met.join(classes.select("class", "copies", "embedding"), "class")
+    return whole.groupBy("block", "cell", "tile").applyInArrow(join, "class long, reached long, links long")
