@@ -147,12 +147,19 @@ def syllables(word: Column) -> Column:
 
 
 def readability(text: Column) -> tuple[Column, Column, Column]:
-    """(Flesch reading ease, Flesch-Kincaid grade, Gunning fog) over words and sentence ends."""
-    w = words(text)
-    n = F.size(w)
+    """(Flesch reading ease, Flesch-Kincaid grade, Gunning fog) over words and sentence ends.
+
+    Words, syllables and words of three syllables or more (see ``syllables``) are counted by
+    patterns over the whole text, without a list of words.
+    """
+    t = F.lower(text)
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    v, c = "[aeiouy]", r"[^\saeiouy]"
+    n = count(r"\S+")
     s = F.greatest(F.lit(1), F.size(F.split(text, r"\.")))
-    syl = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
-    hard = F.size(F.filter(w, lambda x: syllables(x) > 2))
+    # groups less final e's; a word without a vowel, and one whose only group ends it with an e, has one all the same
+    syl = count(f"{v}+") - count(r"e(?!\S)") + count(rf"(?<!\S){c}++(?!\S)") + count(rf"(?<!\S){c}*+{v}*e(?!\S)")
+    hard = count(rf"(?<!\S){c}*+(?:{v}++{c}++){{2}}(?:{v}++{c}++(?!\S)|{v}*[aiouy](?!\S)|{v}++{c}++{v})")
     per_sentence, per_word = n / s, syl / n
     flesch = 206.835 - 1.015 * per_sentence - 84.6 * per_word
     grade = 0.39 * per_sentence + 11.8 * per_word - 15.59
@@ -228,3 +235,26 @@ def mark_negations(text: Column) -> Column:
 
 def any_of(text: Column, words_: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words_])
+
+
+def tfidf_keywords(docs, most: int = 10, stop=STOP_EN):
+    """(doc_id, term, score): each document's ``most`` commonest words and pairs of words, by name where equal.
+
+    Words have two letters or digits at least and are no stop words; scores are counts over their
+    Euclidean norm among the terms kept.
+    """
+    from pyspark.sql import Window as W
+
+    w = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0), lambda t: ~t.isin(list(stop)))
+    d = docs.select("doc_id", w.alias("w")).select("doc_id", F.explode(F.concat("w", ngrams(F.col("w"), 2))).alias("term"))
+    n = d.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    top = n.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "term"))).where(F.col("k") <= most)
+    return top.select("doc_id", "term", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy("doc_id")))).alias("score"))
+
+
+def token_ids(text: Column, vocabulary: dict[str, int], most: int = 128) -> Column:
+    """Ids of [CLS], the words of two bytes or more and [SEP], cut to ``most``; words it lacks are [UNK]."""
+    w = F.transform(F.filter(F.split(text, r"\s+"), lambda x: F.octet_length(x) >= 2), F.lower)
+    tokens = F.slice(F.concat(F.array(F.lit("[CLS]")), w, F.array(F.lit("[SEP]"))), 1, most)
+    ids = F.create_map(*[F.lit(x) for kv in vocabulary.items() for x in kv])
+    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(ids, t), F.lit(vocabulary["[UNK]"])))

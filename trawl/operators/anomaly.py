@@ -104,8 +104,9 @@ def chi_square(now: DataFrame, then: DataFrame, key: str) -> DataFrame:
 def cooled_alerts(alerts: DataFrame, keys: list[str], cooldown: int = 300, hourly: int = 100) -> DataFrame:
     """Alerts that pass a cooldown of seconds by key and a cap by clock hour.
 
-    An alert passes if none passed within the cooldown before it: a fold in time order, done per key
-    and day-long chunk of the key's alerts by ``applyInPandas``. The cap then ranks an hour's alerts.
+    An alert passes if none passed within the cooldown before it. Where a key is quiet for a cooldown,
+    the next alert passes whatever came before, so runs without such a gap are folded apart, in time
+    order by ``applyInPandas``. The cap then ranks an hour's alerts.
     """
     import pandas as pd
 
@@ -118,7 +119,12 @@ def cooled_alerts(alerts: DataFrame, keys: list[str], cooldown: int = 300, hourl
             last = t if ok else last
         return pdf[keep]
 
-    passed = alerts.groupBy(*keys).applyInPandas(fold, alerts.schema)
+    order = W.partitionBy(*keys).orderBy("ts", "event_id")
+    quiet = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp")) >= cooldown * 1_000_000
+    runs = alerts.withColumn("_new", F.when(quiet, 1).otherwise(0)).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    # runs that follow one another share a call
+    schema = runs.schema
+    passed = runs.groupBy(*keys, F.floor(F.col("_run") / 1024)).applyInPandas(fold, schema).drop("_new", "_run")
     w = W.partitionBy(F.date_trunc("hour", "ts")).orderBy("ts", "event_id", *keys)
     return passed.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= hourly).drop("_n")
 

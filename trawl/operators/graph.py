@@ -95,15 +95,32 @@ def metrics(edges: DataFrame) -> DataFrame:
 def clustering(edges: DataFrame) -> DataFrame:
     """(id, coefficient): links among a vertex's out-neighbours over possible ones.
 
-    Wedges are made from the neighbour of lesser degree only, which bounds them by m ** 1.5.
+    Every triangle is found once, from its vertex of least (degree, id) and the pairs of its later
+    neighbours, which bounds the pairs by m ** 1.5; it then counts for each of its vertices that
+    links to the other two.
     """
     e = edges.where("src <> dst").select("src", "dst").distinct()
-    deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    # triangles v -> x, v -> y, x -> y are found from the pairs (v, x) and the links of x
-    x = e.select(F.col("src").alias("v"), F.col("dst").alias("x"))
-    step = x.join(e.select(F.col("src").alias("x"), F.col("dst").alias("y")), "x")
-    tri = step.join(e.select(F.col("src").alias("v"), F.col("dst").alias("y")), ["v", "y"], "left_semi").groupBy("v").agg(F.count(F.lit(1)).alias("t"))
-    return deg.join(tri, deg["src"] == tri["v"], "left").select(F.col("src").alias("id"), F.when(F.col("d") > 1, F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("coefficient"))
+    out = e.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    both = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("src") < F.col("dst")).alias("up"))
+    pair = both.groupBy("a", "b").agg(F.bool_or("up").alias("ab"), F.bool_or(~F.col("up")).alias("ba"))
+    ends = pair.select(F.col("a").alias("id")).unionAll(pair.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    rank = lambda c: ends.select(F.col("id").alias(c), F.struct("n", "id").alias(f"r{c}"))
+    p = pair.join(rank("a"), "a").join(rank("b"), "b")
+    lower = F.col("ra") < F.col("rb")
+    # x links to y if xy, y to x if yx; x comes before y
+    p = p.select(
+        F.when(lower, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(lower, F.col("b")).otherwise(F.col("a")).alias("y"), F.greatest("ra", "rb").alias("ry"),
+        F.when(lower, F.col("ab")).otherwise(F.col("ba")).alias("xy"), F.when(lower, F.col("ba")).otherwise(F.col("ab")).alias("yx"),
+    )
+    one = p.select("x", "y", "ry", "xy", "yx")
+    two = p.select("x", F.col("y").alias("z"), F.col("ry").alias("rz"), F.col("xy").alias("xz"), F.col("yx").alias("zx"))
+    third = p.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("xy").alias("yz"), F.col("yx").alias("zy"))
+    tri = one.join(two, "x").where("ry < rz").join(third, ["y", "z"])
+    inside = lambda v, a, b, ab, ba: F.struct(F.col(v).alias("v"), F.when(F.col(a) & F.col(b), F.col(ab).cast("int") + F.col(ba).cast("int")).otherwise(0).alias("t"))
+    found = tri.select(F.explode(F.array(inside("x", "xy", "xz", "yz", "zy"), inside("y", "yx", "yz", "xz", "zx"), inside("z", "zx", "zy", "xy", "yx"))).alias("f"))
+    t = found.groupBy(F.col("f.v").alias("v")).agg(F.sum("f.t").alias("t"))
+    share = F.when(F.col("d") > 1, F.coalesce("t", F.lit(0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
+    return out.join(t, out["src"] == t["v"], "left").select(F.col("src").alias("id"), share.alias("coefficient"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -191,3 +208,10 @@ def local_moves(edges: DataFrame, rounds: int = 8) -> DataFrame:
         if still == 2:
             break
     return label.select("id", "label")
+
+
+def added(pages: DataFrame, links: DataFrame, more: DataFrame) -> DataFrame:
+    """``links`` (src, dst, weight) with ``more``, of which only those between known pages (id) are kept; the first of a pair stands."""
+    both = links.withColumn("_n", F.lit(0)).unionByName(more.withColumn("_n", F.lit(1)))
+    known = both.join(pages.select(F.col("id").alias("src")), "src", "left_semi").join(pages.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return known.groupBy("src", "dst").agg(F.min_by("weight", F.struct("_n", "weight")).alias("weight"))

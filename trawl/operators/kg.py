@@ -74,3 +74,14 @@ def inferred(facts: DataFrame, predicate: str, rounds: int = 10) -> DataFrame:
 
 def statistics(known: DataFrame) -> DataFrame:
     return known.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"))
+
+
+def added(known: DataFrame, more: DataFrame) -> DataFrame:
+    """``known`` entities (entity_id, name, type, confidence) with those of ``more`` whose name and type are new."""
+    both = known.withColumn("_n", F.lit(0)).unionByName(more.withColumn("_n", F.lit(1)))
+    first = F.min_by(F.struct("entity_id", "name", "confidence"), F.struct("_n", "entity_id")).alias("e")
+    return both.groupBy(F.lower("name").alias("_k"), "type").agg(first).select("e.entity_id", "e.name", "type", "e.confidence")
+
+
+def by_name(known: DataFrame, names: list[str]) -> DataFrame:
+    return known.where(F.lower("name").isin([n.lower() for n in names]))

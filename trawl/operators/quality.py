@@ -119,3 +119,47 @@ def blacklisted(values: DataFrame, entries: DataFrame, most: int = 100_000) -> D
     found = found.unionByName(v.join(F.broadcast(rules), hit).select("value", F.col("type").alias("kind"), "entry"))
     order = reduce(lambda a, k: a.when(F.col("kind") == k[1], k[0]), list(enumerate(BLACKLIST_ORDER))[1:], F.when(F.col("kind") == BLACKLIST_ORDER[0], 0))
     return found.groupBy("value").agg(F.min(F.struct(order.alias("o"), "entry", "kind")).alias("m")).select("value", "m.kind", "m.entry")
+
+
+def metadata_features(url: Column, domain: Column, at: Column, now: Column) -> dict[str, Column]:
+    """URL length, depth and scheme, domain length and dots, age in days."""
+    age = (F.unix_seconds(now) - F.unix_seconds(at)) / 86_400
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    return {
+        "url_length": F.char_length(url), "url_depth": F.regexp_count(url, F.lit("/")), "has_https": flag(url.startswith("https")),
+        "domain_length": F.char_length(domain), "has_subdomain": flag(F.contains(domain, F.lit("."))), "content_age_days": age, "is_recent": flag(age < 7),
+    }
+
+
+# fixed values: what is advised where a dimension is weak
+ADVICE = {
+    "readability": "Improve readability by using shorter sentences and simpler words",
+    "accuracy": "Verify facts and ensure accuracy of information",
+    "completeness": "Add more comprehensive information to cover the topic thoroughly",
+    "relevance": "Ensure content is relevant to the target audience",
+    "authority": "Add credible sources and author information",
+    "freshness": "Update content with more recent information",
+    "uniqueness": "Ensure content is original and not duplicated",
+    "structure": "Improve content structure with headings and organization",
+    "language_quality": "Improve grammar, spelling, and language quality",
+    "factual_accuracy": "Verify factual accuracy and add citations",
+}
+ADVICE_OVERALL = "Consider a comprehensive content review and rewrite"
+
+
+def recommendations(scores: dict[str, Column], overall: Column) -> Column:
+    """Advice for every dimension below 0.3, and for an overall score below 0.5."""
+    return F.array_compact(F.array(*[F.when(s < 0.3, ADVICE[k]) for k, s in scores.items()], F.when(overall < 0.5, ADVICE_OVERALL)))
+
+
+def spam_explanation(f: dict[str, Column], spam: Column) -> Column:
+    """Why a document was classified, from spam_words, suspicious_domains, capitals, marks, urls, repetition and authority."""
+    # fixed values: texts and limits
+    why = F.concat_ws(
+        "; ",
+        F.when(f["spam_words"] > 0, F.format_string("Contains %d spam keywords", f["spam_words"])),
+        F.when(f["suspicious_domains"] > 0, F.format_string("Has %d suspicious domains", f["suspicious_domains"])),
+        F.when(f["capitals"] > 0.3, "High ratio of capital letters"), F.when(f["marks"] > 0.2, "High ratio of special characters"), F.when(f["urls"] > 5, "Contains many URLs"),
+        F.when(f["repetition"] > 0.5, "High word repetition"), F.when(f["authority"] < 0.3, "Low domain authority"),
+    )
+    return F.concat(F.when(spam, "Classified as spam: ").otherwise("Classified as legitimate: "), F.when(why == "", "Standard content analysis").otherwise(why))

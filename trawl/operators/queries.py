@@ -102,3 +102,27 @@ def processed(queries: DataFrame, dictionary: DataFrame, entities: DataFrame, sy
     )
     out = queries.join(per, "query_id", "left").join(expansion(t, synonyms), "query_id", "left").withColumn("intent", intent(F.col("query")))
     return out.withColumn("confidence", confidence(F.col("n_terms"), F.col("changed"), F.col("intent"), F.col("entities")))
+
+
+def filters_and_boosts(intent_: Column, kinds: Column, date: Column) -> tuple[Column, Column]:
+    """(filters, boosts) as maps, by intent and by the kinds of a query's terms; ``date`` is its last date term.
+
+    What a term asks for stands over what the intent asks for.
+    """
+    has = lambda k: F.array_contains(kinds, k)
+    title = F.when(has("entity"), 2.0).when(intent_ == "navigational", 3.0).when(intent_ == "commercial", 2.0)
+    content = F.when(has("number"), 1.5).when(intent_ == "informational", 2.0)
+    url = F.when(intent_ == "navigational", 2.0)
+    kind = F.when(intent_ == "commercial", "product").when(intent_ == "multimedia", "multimedia")
+    some = lambda **m: F.map_filter(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    return some(content_type=kind, location=F.when(intent_ == "local", "local"), date_range=F.when(has("date"), date)), some(title=title, url=url, content=content)
+
+
+def intent_code(text: Column) -> Column:
+    """0 informational, 1 commercial, 2 navigational, by what the query contains."""
+    t = F.lower(text)
+    return F.when(t.rlike("what|how|why|when|where"), 0).when(t.rlike("buy|purchase|shop"), 1).otherwise(2)
+
+
+def domain_specific(text: Column) -> Column:
+    return F.lower(text).rlike("technical|medical|legal|scientific|academic")

@@ -129,3 +129,68 @@ def greedy_representatives(scored: DataFrame, pairs: DataFrame) -> DataFrame:
     better = both.join(s.withColumnsRenamed({"doc_id": "a", "score": "sa"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "score": "sb"}), "b")
     lose = better.where("sb > sa OR (sb = sa AND b < a)").select(F.col("a").alias("doc_id")).distinct()
     return scored.join(lose, "doc_id", "left_anti")
+
+
+def term_ratio(query: Column, content: Column) -> Column:
+    """Occurrences of the query's words among the content's, over the content's words."""
+    q, w = T.words(query), T.words(content)
+    hits = F.aggregate(q, F.lit(0), lambda a, x: a + F.size(F.filter(w, lambda y: y == x)))
+    return F.when(F.size(w) > 0, hits / F.size(w)).otherwise(0.0)
+
+
+def user_features(clicks: Column, dwell: Column, satisfaction: Column, here: Column, there: Column, device: Column) -> dict[str, Column]:
+    """Click history, dwell time, satisfaction (0.5 unknown), equal locations, and a device's code."""
+    zero = F.lit(0.0)
+    return {
+        "clicks": F.coalesce(clicks, zero), "dwell": F.coalesce(dwell, zero), "satisfaction": F.coalesce(satisfaction, F.lit(0.5)),
+        "location": F.when(here == there, 1.0).otherwise(0.0), "device": F.when(device == "mobile", 1).when(device == "tablet", 2).otherwise(0),
+    }
+
+
+def semantic_pairs(results: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, similarity) of results (id, title, content): 0.6 of the titles' and 0.4 of the contents' word Jaccard.
+
+    Results of equal words are one class, of least id, and pairs are between classes. As contents
+    add 0.4 at most, titles of a pair are alike to (least - 0.4) / 0.6: pairs meet on the rarest
+    words that such a likeness can't do without.
+    """
+    sets = results.select("id", F.array_sort(F.array_distinct(T.words(F.col("title")))).alias("t"), F.array_sort(F.array_distinct(T.words(F.col("content")))).alias("c"))
+    classes = sets.groupBy("t", "c").agg(F.min("id").alias("id"))
+    share = (least - 0.4) / 0.6
+    words = classes.select("id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "w"))
+    prefix = words.join(df, "w").withColumn("k", place).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
+    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "w"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "w")
+    met = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.col("na") >= share * F.col("nb") - 1e-9) & (F.col("nb") >= share * F.col("na") - 1e-9)).select("a", "b").distinct()
+    x, y = (classes.select(F.col("id").alias(i), F.col("t").alias(f"t{i}"), F.col("c").alias(f"c{i}")) for i in "ab")
+    both = met.join(x, "a").join(y, "b")
+    s = both.select("a", "b", (0.6 * T.jaccard(F.col("ta"), F.col("tb")) + 0.4 * T.jaccard(F.col("ca"), F.col("cb"))).alias("similarity"))
+    return s.where(F.col("similarity") >= least)
+
+
+def fuzzy_pairs(results: DataFrame, key: str, least: float = 0.9) -> DataFrame:
+    """(a, b, ratio) of different keys (of ids a < b) whose edit distance leaves ``least`` of the longer one.
+
+    Of two keys d edits apart, one of d + 1 equal pieces of the shorter stands unchanged in the
+    other, shifted by d at most: pairs meet on pieces.
+    """
+    keys = results.where(F.char_length(key) > 0).groupBy(F.col(key).alias("s")).agg(F.min("id").alias("id")).withColumn("n", F.char_length("s"))
+    edits = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
+    # lengths of a pair differ by the edits of the longer at most: every length that may be the shorter's partner
+    small = keys.withColumn("m", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / least + 1e-9).cast("int")))).withColumn("d", edits(F.col("m"))).where("m - n <= d")
+    begin = lambda i: F.floor(i * F.col("n") / (F.col("d") + 1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.struct(i.alias("i"), F.substring("s", begin(i) + 1, begin(i + 1) - begin(i)).alias("w")))
+    small = small.select(F.col("id").alias("x"), F.col("s").alias("sx"), "n", "m", "d", F.explode(cut).alias("p")).select("x", "sx", "n", "m", "d", "p.*")
+    sizes = F.broadcast(small.select("n", "m", "d").distinct())  # pairs of lengths
+    big = keys.select(F.col("id").alias("y"), F.col("s").alias("sy"), F.col("n").alias("m")).join(sizes, "m")
+    at = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.transform(F.sequence(-F.col("d"), F.col("d")), lambda o: F.struct(i.alias("i"), F.substring("sy", F.greatest(F.lit(1), begin(i) + 1 + o), begin(i + 1) - begin(i)).alias("w"))))
+    big = big.select("y", "sy", "n", "m", F.explode(F.array_distinct(F.flatten(at))).alias("p")).select("y", "sy", "n", "m", "p.*")
+    met = small.join(big, ["n", "m", "i", "w"]).where("sx <> sy").select("x", "sx", "y", "sy", "m").distinct()
+    ratio = met.withColumn("ratio", 1 - F.levenshtein("sx", "sy") / F.col("m")).where(F.col("ratio") >= least - 1e-9)
+    return ratio.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio").distinct()
+
+
+def duplicate_statistics(fingerprints: Column, rows: DataFrame) -> DataFrame:
+    """One row: fingerprints in all, and those that more than one row has."""
+    return rows.groupBy(fingerprints.alias("f")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("fingerprints"), F.count_if(F.col("n") > 1).alias("duplicates"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,8 +107,6 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     """(domain, agent, allow, path, delay) of robots.txt texts: one row for each rule and agent of its group."""
 
     def parse(batches):
-        import pandas as pd
-
         for pdf in batches:
             out = []
             for domain, text in zip(pdf["domain"], pdf["robots_txt"]):
@@ -174,14 +174,18 @@ def ring(shards: list[str], points: int = 100) -> list[tuple[int, str]]:
 def ring_shard(rows: DataFrame, key: str, shards: list[str], points: int = 100) -> DataFrame:
     """``rows`` with shard: the owner of the first ring point at or after the key's hash, around the end.
 
-    The ring is a constant array; a binary search by ``array_position`` on its sorted points needs
-    no join.
+    A binary search in the sorted points, on Arrow batches; the ring is as large as the shards make it.
     """
     r = ring(shards, points)
-    at, names = F.array(*[F.lit(p) for p, _ in r]), F.array(*[F.lit(s) for _, s in r])
+    names = [s for _, s in r] + [r[0][1]]
+    at = [p for p, _ in r]
+
+    @F.pandas_udf("string")
+    def owner(h: pd.Series) -> pd.Series:
+        return pd.Series(np.array(names, dtype=object)[np.searchsorted(np.array(at, np.int64), h.to_numpy().astype(np.int64))])
+
     h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long")
-    below = F.size(F.filter(at, lambda p: p < h))
-    return rows.withColumn("shard", F.element_at(names, F.pmod(below, F.lit(len(r))).cast("int") + 1))
+    return rows.withColumn("shard", owner(F.coalesce(h, F.lit(0))))
 
 
 def replicas(shard: Column, n: int, r: int) -> Column:
@@ -190,21 +194,29 @@ def replicas(shard: Column, n: int, r: int) -> Column:
 
 
 def fixed_window_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """``requests`` with allowed: the first ``limit`` of a key's window, which opens at the first request
-    after the last window's end. An ordered fold over each key."""
+    """(key, request_id, allowed): the first ``limit`` of a key's window, which opens at the first request
+    after the last window's end.
 
-    def step(acc, x):
-        new = acc["start"].isNull() | (x["t"] >= acc["start"] + seconds)
-        n = F.when(new, 1).otherwise(acc["n"] + 1)
-        return F.struct(
-            F.when(new, x["t"]).otherwise(acc["start"]).alias("start"), n.cast("int").alias("n"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("request_id"), (n <= limit).alias("allowed")))).alias("out"),
-        )
+    A gap of a window's length ends any window, so runs without such a gap are folded apart, in
+    time order on Arrow batches.
+    """
+    order = W.partitionBy("key").orderBy("t", "request_id")
+    r = requests.select("key", "request_id", F.unix_seconds("ts").alias("t"))
+    new = F.when(F.col("t") - F.lag("t").over(order) >= seconds, 1).otherwise(0)
+    r = r.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "request_id"])
+        start, n, ok = None, 0, []
+        for t in pdf["t"]:
+            if start is None or t >= start + seconds:
+                start, n = t, 0
+            n += 1
+            ok.append(n <= limit)
+        return pdf[["key", "request_id"]].assign(allowed=ok)
 
-    kind = requests.schema["request_id"].dataType.simpleString()
-    zero = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast(f"array<struct<request_id:{kind},allowed:boolean>>").alias("out"))
-    rows = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.unix_seconds("ts").alias("t"), F.col("request_id").alias("id")))).alias("x"))
-    return rows.select("key", F.explode(F.aggregate("x", zero, step)["out"]).alias("o")).select("key", "o.request_id", "o.allowed")
+    kind = lambda c: requests.schema[c].dataType.simpleString()
+    return r.groupBy("key", F.floor(F.col("_run") / 1024)).applyInPandas(fold, f"key {kind('key')}, request_id {kind('request_id')}, allowed boolean")
 
 
 def latest(changes: DataFrame, now: Column, ttl: str = "ttl") -> DataFrame:
@@ -212,3 +224,56 @@ def latest(changes: DataFrame, now: Column, ttl: str = "ttl") -> DataFrame:
     last = changes.groupBy("key").agg(F.max_by(F.struct("value", "ts", F.col(ttl).alias("ttl"), "deleted"), F.struct("ts", "version")).alias("v"), F.max("version").alias("version"))
     alive = F.col("v.ttl").isNull() | (F.unix_seconds(now) < F.unix_seconds("v.ts") + F.col("v.ttl"))
     return last.where(~F.col("v.deleted") & alive).select("key", F.col("v.value").alias("value"), F.col("v.ts").alias("ts"), "version")
+
+
+def range_shard(key: Column, shards: int) -> Column:
+    """The first letter's place after a, modulo the number of shards; an empty key counts as a."""
+    first = F.when(F.char_length(key) > 0, F.ascii(F.substring(F.lower(key), 1, 1))).otherwise(97)
+    return F.pmod(first - 97, F.lit(shards)).cast("int")
+
+
+def round_robin(rows: DataFrame, order: list[str], shards: int) -> DataFrame:
+    """``rows`` with shard: 0, 1, ... in turn by ``order``.
+
+    Rows are numbered within ranges of the order, whose sizes are added up: no task sees them all.
+    """
+    parts = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")  # a row a partition
+    mine = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_mine", mine).join(F.broadcast(before), "_part").withColumn("shard", F.pmod(F.col("_before") + F.col("_mine"), F.lit(shards)).cast("int")).drop("_part", "_mine", "_before")
+
+
+def scaling(stores: DataFrame, least: int, most: int, up: float, down: float) -> DataFrame:
+    """One row (healthy, mean, action): up, down or stay by the healthy stores' mean connections."""
+    one = stores.where("healthy").agg(F.count(F.lit(1)).alias("healthy"), F.avg("connections").alias("mean"))
+    action = F.when((F.col("healthy") < most) & (F.col("mean") > up), "up").when((F.col("healthy") > least) & (F.col("mean") < down), "down").otherwise("stay")
+    return one.withColumn("action", action)
+
+
+def frontier_statistics(jobs: DataFrame, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(totals, domains): jobs done and failed with their success rate, and the domains with most requests."""
+    done, failed = F.count_if(F.col("status") == "done"), F.count_if(F.col("status") == "failed")
+    totals = jobs.agg(F.count(F.lit(1)).alias("scheduled"), done.alias("done"), failed.alias("failed"), F.when(done + failed > 0, done / (done + failed)).otherwise(0.0).alias("success_rate"))
+    domains = jobs.groupBy("domain").agg(F.count(F.lit(1)).alias("requests")).orderBy(F.desc("requests"), "domain").limit(most)
+    return totals, domains
+
+
+def image_order(images: DataFrame, by: str = "relevance", most: int = 20) -> DataFrame:
+    """Images ranked by relevance, popularity (the same), date, size or quality, best first."""
+    key = {"relevance": F.col("score"), "popularity": F.col("score"), "date": F.col("created"), "size": F.col("width") * F.col("height"), "quality": F.col("quality")}[by]
+    top = images.orderBy(F.desc(key), "image_id").limit(most)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(key), "image_id")))  # of ``most`` rows
+
+
+def image_type(transparent: Column, width: Column, height: Column, edges: Column, contrast: Column) -> Column:
+    """Illustration, screenshot, diagram, logo or photo by transparency, shape, edge density and contrast."""
+    return (
+        F.when(transparent, "illustration").when((width / height > 1.5) & (width > 1000), "screenshot").when(edges > 0.1, "diagram")
+        .when((width < 500) & (height < 500) & (contrast > 50), "logo").otherwise("photo")
+    )
+
+
+def image_query_errors(limit: Column, offset: Column) -> Column:
+    """What is wrong with a query's page, null if nothing is: limit within 1 and 100, offset 0 or more."""
+    return F.when(~limit.between(1, 100), "limit").when(offset < 0, "offset")

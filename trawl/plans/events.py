@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.operators import anomaly as A
+from trawl.plans import registry
 from trawl.plans.registry import query
 from trawl.session import table
 
@@ -110,9 +111,22 @@ def log_sessions(spark, sf_dir):
     return s.select("user_id", "session", "n", (F.unix_micros("end") - F.unix_micros("start")).alias("span"))
 
 
-@query("log_cooled_alerts")
+RULES = registry.sql("log_rule_anomalies")
+
+
+@query("log_anomaly_statistics", f"SELECT rule, severity, count(*) AS n FROM ({RULES}) GROUP BY ALL")
+def log_anomaly_statistics(spark, sf_dir):
+    l = log(spark, sf_dir)
+    return A.rule_anomalies(l, A.profile(l)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "log_cooled_alerts",
+    f"""WITH RECURSIVE a AS MATERIALIZED (SELECT event_id, ts, rule, severity FROM ({RULES}) JOIN events USING (event_id)), p AS (SELECT rule, severity, min(ts) AS ts FROM a GROUP BY ALL UNION ALL SELECT p.rule, p.severity, min(a.ts) FROM p JOIN a ON a.rule = p.rule AND a.severity = p.severity AND a.ts >= p.ts + INTERVAL 300 SECOND GROUP BY ALL),
+    q AS (SELECT min(event_id) AS event_id, ts, rule, severity FROM a JOIN p USING (rule, severity, ts) GROUP BY ALL) SELECT event_id, rule, severity FROM q QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id, rule, severity) <= 100""",
+)
 def log_cooled_alerts(spark, sf_dir):
-    """Alerts after cooldown and cap: an order-dependent fold, tested by hand."""
+    """Alerts after cooldown and cap: an order-dependent fold."""
     l = log(spark, sf_dir)
     a = A.rule_anomalies(l, A.profile(l)).select("event_id", "ts", "rule", "severity")
     return A.cooled_alerts(a, ["rule", "severity"]).select("event_id", "rule", "severity")

@@ -42,22 +42,6 @@ def page_hosts(spark, sf_dir):
     return pages(spark, sf_dir).groupBy(P.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("page_link_scores")
-def page_link_scores(spark, sf_dir):
-    """Unique resolved links with quality, confidence and type; resolution is tested by hand."""
-    u = P.unique_links(P.links(pages(spark, sf_dir)))
-    a, h = F.col("anchor"), F.col("href")
-    return u.select("link_id", "url", "target", P.link_quality(a, h).alias("quality"), P.link_confidence(a).alias("confidence"), P.link_type(a, F.col("internal")).alias("kind"))
-
-
-@query("page_quality")
-def page_quality(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    n = P.links(p).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
-    d = P.document(p).join(n, "page_id", "left").fillna(0, ["n_links"])
-    return P.page_quality(d).select("page_id", F.round("quality", 6).alias("quality"))
-
-
 def trade(spark, sf_dir):
     """Nations as vertices: links from customers' nations to their suppliers' nations, weighted by orders."""
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("search", "text", "relational", "events", "graphs", "vectors", "search_more", "stores", "scoring", "streams")
+MODULES = ("search", "text", "relational", "events", "graphs", "vectors", "search_more", "stores", "scoring", "streams", "links", "inventory")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql(name: str) -> str:
+    """The SQL of a query that is registered already, for others to build on."""
+    return _SQL[name]
+
+
 def _load() -> None:
     for m in MODULES:
         importlib.import_module(f"trawl.plans.{m}")

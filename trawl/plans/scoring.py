@@ -111,32 +111,6 @@ def page_outline(spark, sf_dir):
     )
 
 
-@query("link_weights")
-def link_weights(spark, sf_dir):
-    """Unique links with type, anchor quality and weight."""
-    u = P.unique_links(P.links(table(spark, sf_dir, "pages")))
-    a = F.col("anchor")
-    kind = P.link_type(a, F.col("internal"))
-    return u.select("link_id", kind.alias("kind"), S.anchor_quality(a).alias("quality"), S.link_weight(kind, S.anchor_quality(a), P.link_confidence(a)).alias("weight"))
-
-
-@query("link_anchor_index")
-def link_anchor_index(spark, sf_dir):
-    """Words of more than two bytes of anchors with the number of links that have them."""
-    u = P.unique_links(P.links(table(spark, sf_dir, "pages")))
-    w = u.select("link_id", F.explode(F.array_distinct(T.words(F.col("anchor")))).alias("word")).where(F.octet_length("word") > 2)
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("link_page_counts")
-def link_page_counts(spark, sf_dir):
-    """Links in and out of every page that a link names."""
-    from trawl.operators.graph import degrees
-
-    u = P.unique_links(P.links(table(spark, sf_dir, "pages")))
-    return degrees(u.select(F.col("url").alias("src"), F.col("target").alias("dst")))
-
-
 @query("link_internal_share", r"""WITH l AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href FROM pages) SELECT count(*) FILTER (regexp_matches(href, '^(?i)https?://')) AS absolute, count(*) FILTER (href LIKE '/%' AND href NOT LIKE '//%') AS rooted FROM l""")
 def link_internal_share(spark, sf_dir):
     l = P.links(table(spark, sf_dir, "pages"))

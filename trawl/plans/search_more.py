@@ -211,9 +211,13 @@ def shard_replicas(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(r.cast("array<string>"), ", "), F.lit("]")).alias("replicas"))
 
 
-@query("limit_fixed_window")
+@query(
+    "limit_fixed_window",
+    """WITH RECURSIVE e AS (SELECT user_id AS key, floor(epoch(ts))::BIGINT AS t, event_id AS request_id FROM events), w AS (SELECT key, min(t) AS s FROM e GROUP BY key UNION ALL SELECT w.key, min(e.t) FROM w JOIN e ON e.key = w.key AND e.t >= w.s + 86400 GROUP BY w.key)
+    SELECT e.key, request_id, row_number() OVER (PARTITION BY e.key, s ORDER BY t, request_id) <= 3 AS allowed FROM e JOIN w ON e.key = w.key AND e.t >= w.s AND e.t < w.s + 86400""",
+)
 def limit_fixed_window(spark, sf_dir):
-    """A user's first three requests of each day-long window; a fold, tested by hand."""
+    """A user's first three requests of each day-long window."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("request_id"))
     return X.fixed_window_limit(e, 3, 86_400)
 
