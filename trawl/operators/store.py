@@ -107,3 +107,50 @@ def glob(path: Column, include: list[str], exclude: list[str] = ()) -> Column:
 def incremental(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files (path, checksum) that a manifest lacks or knows with another checksum."""
     return files.join(manifest.select("path", "checksum"), ["path", "checksum"], "left_anti")
+
+
+def transactions(events: DataFrame, now: Column, seconds: int = 3600) -> DataFrame:
+    """(txn, status, operations) of a log (txn, seq, action, ts): committed or aborted by its last such
+    action, else aborted if it began more than ``seconds`` ago, else active. What follows an end doesn't count."""
+    end = F.min_by("action", F.when(F.col("action").isin("commit", "abort"), F.col("seq")))
+    at = F.min(F.when(F.col("action").isin("commit", "abort"), F.col("seq")))
+    t = events.groupBy("txn").agg(end.alias("end"), at.alias("at"), F.min("ts").alias("began"))
+    n = events.where("action = 'operation'").join(t.select("txn", "at"), "txn").where("at IS NULL OR seq < at").groupBy("txn").agg(F.count(F.lit(1)).alias("operations"))
+    late = F.unix_seconds(now) - F.unix_seconds("began") > seconds
+    status = F.when(F.col("end") == "commit", "COMMITTED").when((F.col("end") == "abort") | late, "ABORTED").otherwise("ACTIVE")
+    return t.join(n, "txn", "left").select("txn", status.alias("status"), F.coalesce("operations", F.lit(0)).alias("operations"))
+
+
+def two_phase(votes: DataFrame, participants: DataFrame) -> DataFrame:
+    """(txn, decision): commit if every registered participant voted yes, else abort; a missing vote is a no."""
+    yes = votes.where("vote").select("txn", "participant").distinct().join(participants.select("participant"), "participant", "left_semi")
+    n = participants.select("participant").distinct().agg(F.count(F.lit(1)).alias("all"))
+    got = votes.select("txn").distinct().join(yes.groupBy("txn").agg(F.count(F.lit(1)).alias("yes")), "txn", "left").crossJoin(F.broadcast(n))
+    return got.select("txn", F.when(F.coalesce("yes", F.lit(0)) == F.col("all"), "commit").otherwise("abort").alias("decision"))
+
+
+def hit_rate(log: DataFrame, *by: str) -> DataFrame:
+    """(by, requests, hits, rate) of a cache's log with a boolean ``hit``."""
+    n, h = F.count(F.lit(1)), F.count_if("hit")
+    return log.groupBy(*by).agg(n.alias("requests"), h.alias("hits"), (h / n).alias("rate"))
+
+
+def invalidated(entries: DataFrame, depends: DataFrame, include: list[str], now: Column | None = None) -> DataFrame:
+    """Keys to drop: those that match a pattern, those expired by ``now``, and all that depends on them (key, on)."""
+    from trawl.operators.kg import inferred
+
+    hit = glob(F.col("key"), include)
+    if now is not None:
+        hit = hit | F.coalesce(F.col("expires") <= now, F.lit(False))
+    first = entries.where(hit).select("key")
+    closure = inferred(depends.select(F.col("on").alias("subject"), F.col("key").alias("object"), F.lit("d").alias("predicate")), "d")
+    return first.union(closure.join(first, F.col("subject") == F.col("key"), "left_semi").select("object")).distinct().join(entries.select("key").distinct(), "key", "left_semi")
+
+
+def breaker(calls: DataFrame, now: Column, failures: int = 5, seconds: int = 60) -> DataFrame:
+    """(key, state, failing): open after ``failures`` failures in a row, half_open once it has rested ``seconds``, else closed."""
+    last_ok = calls.groupBy("key").agg(F.max(F.when(F.col("ok"), F.struct("ts", "id"))).alias("ok_at"))
+    after = calls.join(last_ok, "key").where("NOT ok AND (ok_at IS NULL OR struct(ts, id) > ok_at)").groupBy("key").agg(F.count(F.lit(1)).alias("failing"), F.max("ts").alias("last"))
+    n = F.coalesce("failing", F.lit(0))
+    state = F.when(n < failures, "closed").when(F.unix_seconds(now) - F.unix_seconds("last") >= seconds, "half_open").otherwise("open")
+    return last_ok.join(after, "key", "left").select("key", state.alias("state"), n.alias("failing"))

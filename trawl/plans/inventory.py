@@ -17,6 +17,7 @@ from trawl.operators import ranking as R
 from trawl.operators import store as D
 from trawl.operators import vector as V
 from trawl.operators import verticals as X
+from trawl.plans.graphs import TRADE, trade
 from trawl.plans.registry import query
 from trawl.plans.text import SENT, WORDS
 from trawl.session import table
@@ -467,3 +468,94 @@ def crawl_top_domains(spark, sf_dir):
 @query("crawl_backoff", "SELECT p_partkey AS id, least(3600, pow(2, p_size % 15))::DOUBLE AS seconds FROM part")
 def crawl_backoff(spark, sf_dir):
     return part(spark, sf_dir).select(F.col("p_partkey").alias("id"), X.backoff(F.col("p_size") % 15).alias("seconds"))
+
+
+LOG = "l AS (SELECT user_id AS txn, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'abort' ELSE 'operation' END AS action, ts FROM events)"
+
+
+@query(
+    "store_transactions",
+    f"WITH {LOG}, t AS (SELECT txn, arg_min(action, seq) FILTER (action <> 'operation') AS e, min(seq) FILTER (action <> 'operation') AS ended, min(ts) AS began FROM l GROUP BY txn) SELECT txn, CASE WHEN e = 'commit' THEN 'COMMITTED' ELSE 'ABORTED' END AS status, (SELECT count(*) FROM l WHERE l.txn = t.txn AND action = 'operation' AND (ended IS NULL OR seq < ended)) AS operations FROM t",
+)
+def store_transactions(spark, sf_dir):
+    """A user's events as one transaction's log: a purchase commits, an error aborts; in the end all are old."""
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "abort").otherwise("operation")
+    l = e.select(F.col("user_id").alias("txn"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), action.alias("action"), F.col("ts").cast("timestamp").alias("ts"))
+    return D.transactions(l, F.lit("2030-01-01 00:00:00").cast("timestamp"))
+
+
+@query("store_two_phase", "WITH v AS (SELECT o_custkey AS txn, o_orderstatus AS p, bool_or(o_totalprice > 50000) AS y FROM orders GROUP BY ALL) SELECT txn, CASE WHEN count(*) FILTER (y AND p IN ('F', 'O')) = 2 THEN 'commit' ELSE 'abort' END AS decision FROM v GROUP BY txn")
+def store_two_phase(spark, sf_dir):
+    """Votes of two participants, F and O: an order of over 50,000 is a yes."""
+    v = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("txn"), F.col("o_orderstatus").alias("participant"), (F.col("o_totalprice") > 50_000).alias("vote"))
+    return D.two_phase(v, spark.createDataFrame([("F",), ("O",)], "participant string"))
+
+
+@query("cache_hit_rate", "SELECT event_type AS layer, count(*) AS requests, count(*) FILTER (value < 50) AS hits, round(count(*) FILTER (value < 50) / count(*), 6) AS rate FROM events GROUP BY 1")
+def cache_hit_rate(spark, sf_dir):
+    l = table(spark, sf_dir, "events").select(F.col("event_type").alias("layer"), (F.col("value") < 50).alias("hit"))
+    return D.hit_rate(l, "layer").withColumn("rate", F.round("rate", 6))
+
+
+@query("cache_invalidated", "WITH RECURSIVE e AS (SELECT p_partkey AS k FROM part), h AS (SELECT k FROM e WHERE 'p:' || k LIKE 'p:1_' UNION SELECT e.k FROM h JOIN e ON e.k = h.k * 2) SELECT 'p:' || k AS key FROM h")
+def cache_invalidated(spark, sf_dir):
+    """Keys p:10 to p:19 and what depends on them: a part on that of half its number."""
+    e = part(spark, sf_dir).select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("key"), "p_partkey")
+    on = F.concat(F.lit("p:"), (F.col("p_partkey") / 2).cast("long").cast("string"))
+    return D.invalidated(e.select("key"), e.where("p_partkey % 2 = 0").select("key", on.alias("on")), ["p:1?"])
+
+
+@query("crawl_breakers", "WITH o AS (SELECT user_id AS key, max((ts, event_id)) FILTER (event_type NOT IN ('error', 'view', 'click')) AS ok FROM events GROUP BY 1), f AS (SELECT user_id AS key, count(*) AS n FROM events JOIN o ON user_id = key WHERE event_type IN ('error', 'view', 'click') AND (ok IS NULL OR (ts, event_id) > ok) GROUP BY 1) SELECT key, CASE WHEN coalesce(n, 0) < 3 THEN 'closed' ELSE 'half_open' END AS state, coalesce(n, 0) AS failing FROM o LEFT JOIN f USING (key)")
+def crawl_breakers(spark, sf_dir):
+    """Users as hosts: errors, views and clicks fail; all have rested by now."""
+    c = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (~F.col("event_type").isin("error", "view", "click")).alias("ok"))
+    return D.breaker(c, F.lit("2030-01-01 00:00:00").cast("timestamp"), failures=3)
+
+
+@query("search_federated", "WITH s AS (SELECT 'documents' AS store, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations) SELECT store, id FROM s WHERE regexp_matches(lower(text), '(^|\\s)the(\\s|$)') AND regexp_matches(lower(text), '(^|\\s)and(\\s|$)')")
+def search_federated(spark, sf_dir):
+    """Texts of two stores with both words."""
+    c = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("store"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    s = docs(spark, sf_dir).select(F.lit("documents").alias("store"), F.col("doc_id").alias("id"), "text").unionByName(c)
+    w = T.words(F.col("text"))
+    return s.where(F.array_contains(w, "the") & F.array_contains(w, "and")).select("store", "id")
+
+
+@query("sql_parameters", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F' GROUP BY 1")
+def sql_parameters(spark, sf_dir):
+    """A statement with parameters, through the engine and its plan cache."""
+    from trawl.operators.relational import QueryEngine
+    from trawl.session import views
+
+    views(spark, sf_dir, "orders")
+    engine = QueryEngine(spark)
+    args = {"least": 100000, "status": "F"}
+    text = "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > :least AND o_orderstatus = :status GROUP BY 1"
+    engine.execute(text, args)
+    return engine.execute(text.replace(" WHERE", "  WHERE"), args)
+
+
+@query("sql_batch_statistics", "SELECT * FROM (VALUES ('SELECT', 3, 1), ('WITH', 1, 0)) t(kind, n, failed)")
+def sql_batch_statistics(spark, sf_dir):
+    """Statements run at once, one of which fails alone, counted by kind."""
+    from trawl.operators.relational import QueryEngine
+    from trawl.session import views
+
+    views(spark, sf_dir, "region", "nation")
+    engine = QueryEngine(spark)
+    engine.execute_batch([("SELECT * FROM region", None), ("SELECT * FROM nation WHERE n_nationkey = :k", {"k": 3}), ("SELECT nothing FROM region", None), ("WITH a AS (SELECT 1) SELECT * FROM a", None)])
+    return engine.statistics()
+
+
+@query(
+    "graph_communities",
+    f"WITH {TRADE}, l AS (SELECT n_nationkey AS id, n_regionkey AS label FROM nation), p AS (SELECT a.label AS a, b.label AS b FROM e JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE src <> dst), s AS (SELECT label, count(*) AS size FROM l GROUP BY 1), c AS (SELECT label, size, (SELECT count(*) FROM p WHERE a = label AND b = label) AS i, (SELECT count(*) FROM p WHERE a <> b AND (a = label OR b = label)) AS x FROM s) SELECT label, size, i AS internal, x AS external, round(2 * i / (size * (size - 1)), 6) AS density, round(CASE WHEN 2 * i + x > 0 THEN x / (2 * i + x) ELSE 0 END, 6) AS conductance FROM c",
+)
+def graph_communities(spark, sf_dir):
+    """Regions as communities of the nations' trade."""
+    label = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("label"))
+    c = G.communities(trade(spark, sf_dir), label)
+    return c.withColumns({k: F.round(k, 6) for k in ("density", "conductance")})
