@@ -161,7 +161,7 @@ class Powers:
 
     def to(self, n: int) -> Powers:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = max(n, len(self.up) + len(self.up) // 8)
             up, down = np.full(n, _BASE, U64), np.full(n, _INVERSE, U64)
             up[0] = down[0] = U64(1)
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)

@@ -40,7 +40,7 @@ HOT = 64  # entries of a token in a batch from which they travel as a count
 SENT = 500_000  # sets that a task remembers to have sent
 KEPT = 1_000_000  # shared tokens that a task gathers before it sends them back
 TILE_TOKENS = 400_000  # shared tokens of a tile's classes
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 BAND = 1.26  # between lengths of neighbouring bands: sets that link are a band apart at most
 
 
