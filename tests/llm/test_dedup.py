@@ -98,3 +98,14 @@ def test_one_anchor_of_thousands_of_kinds(spark):
     got, _ = rows_of(spark, texts, least=80, cell_bytes=20_000, width_bits=16)
     assert got == brute_suffix(texts, 80)
     assert sum(r[1] > 0 for r in got) > 300
+
+
+def test_one_text_beyond_a_million_bytes(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage, again = word(150), "xy" * 50
+    long = word(5000) + passage + word((1 << 20) - 5000 - 150 - 70) + again + passage + again + word(60_000) + passage
+    texts = [long, "short " + passage[20:120] + " end", again, None]
+    got, _ = rows_of(spark, texts, least=60, width_bits=20)
+    assert got == brute_suffix(texts, 60)
+    assert got[0][0] > 1 << 20 and got[0][1] > 3 * 150

@@ -100,3 +100,10 @@ def test_vectors_by_brute_force(spark):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup(df).collect() == []
+
+
+def test_one_id_on_two_vectors(spark):
+    a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.1, 0.0]
+    rows = [(1, a), (2, [x * 1.01 + 0.001 for x in a]), (1, b), (3, [x + 0.002 for x in b])]
+    got = sorted(map(tuple, embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]

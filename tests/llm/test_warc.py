@@ -40,3 +40,16 @@ def test_round_trip_through_files(spark, tmp_path):
 
 def test_empty(spark):
     assert fixity_audit(pages(spark, []), pages(spark, [])).count() == 0
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    from trawl.llm.warc import fixity_audit
+
+    rows = [(i if i % 3 else None, f"http://a/{i}", f"<p>{i}</p>", "x", 5) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, file string, seq int")
+    hit = F.col("html").isin("<p>6</p>", "<p>7</p>")
+    found = fixity_audit(pages, pages.withColumn("html", F.when(hit, F.lit("changed!")).otherwise(F.col("html")))).collect()
+    assert len(found) == 300 and len({r.file for r in found if r.page_id is None}) > 50
+    assert sorted(str(r.page_id) for r in found if not r.intact) == ["7", "None"]
