@@ -23,7 +23,7 @@ from trawl.llm.common import Powers, pieces, spread, word_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE = 200_000  # words whose segmentation a task remembers
-PART_BYTES = 4_000_000
+PART_BYTES = 1_000_000
 
 
 @dataclass
