@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trawl.operators.graph import cut
+
 
 def query_log(events: DataFrame) -> DataFrame:
     """Events as a query log: value is the response time, errors have status 500."""
@@ -26,9 +28,56 @@ def zscore_outliers(log: DataFrame, value: str = "value", threshold: float = 3.0
     return log.crossJoin(F.broadcast(s)).withColumn("z", F.when((F.col("_n") >= 3) & (F.col("_s") > 0), z).otherwise(0.0)).where(F.col("z") > threshold).drop("_m", "_s", "_n")
 
 
+def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, by equal keys; null keys are equal."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))  # one row
+    names = [f"_by{i}" for i in range(len(by))]
+    right = right.withColumnsRenamed(dict(zip(by, names)))
+    on = [left[k].eqNullSafe(right[n]) for k, n in zip(by, names)]
+    return left.join(right, on, how).drop(*names)
+
+
+def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] = (), whole: int = 1_000_000, bins: int = 4096) -> DataFrame:
+    """(keys..., quantiles): exact, interpolated; null, NaN and infinite values are left out.
+
+    Equal values are counted first. Up to ``whole`` different ones are aggregated at once. Beyond
+    that, every wanted rank has a range of values, cut into ``bins`` and narrowed to the bin that
+    holds the rank until it is one value; a round is a pass over the counted values, and no task
+    holds more than ``bins`` rows of a rank.
+    """
+    by, v = list(by), F.col(value).cast("double")
+    counts = rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(counts)
+    if counts.limit(whole + 1).count() <= whole:
+        return counts.groupBy(*by).agg(F.percentile("_v", F.array(*map(F.lit, shares)), F.col("_n")).alias("quantiles"))
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_t"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    place = [(F.col("_t") - 1) * F.lit(s) for s in shares]
+    ranks = [F.struct(F.lit(2 * i + up).alias("_i"), f(p).cast("long").alias("_r")) for i, p in enumerate(place) for up, f in enumerate((F.floor, F.ceil))]
+    state = cut(total.withColumn("_k", F.explode(F.array(*ranks))).select(*by, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), "_k.*"))
+    done = None
+    while True:
+        settled = state.where("_lo = _hi")
+        done = settled if done is None else done.unionByName(settled)
+        state = state.where("_lo < _hi")
+        if not state.limit(1).count():
+            break
+        inside = _beside(counts, state, by).where("_v BETWEEN _lo AND _hi")
+        bin_ = F.coalesce(F.floor(F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2) * bins), F.when(F.col("_v") > F.col("_lo"), bins).otherwise(0))
+        held = inside.groupBy(*by, "_i", "_r", "_below", F.least(F.lit(bins - 1), bin_).alias("_b")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_n"))
+        upto = F.col("_below") + F.sum("_n").over(W.partitionBy(*by, "_i").orderBy("_b"))
+        found = held.withColumn("_upto", upto).where("_r < _upto AND _r >= _upto - _n")
+        state = cut(found.select(*by, "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_below"), "_i", "_r"))
+    at = done.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_lo"))).alias("_at"))  # two values a share
+    at = _beside(at, total.select(*by, "_t"), by)
+    value_at = lambda i: F.element_at("_at", F.lit(i))
+    between = [value_at(2 * i) + (p - F.floor(p)) * (value_at(2 * i + 1) - value_at(2 * i)) for i, p in enumerate(place)]
+    return at.select(*by, F.array(*between).alias("quantiles"))
+
+
 def iqr_outliers(log: DataFrame, value: str = "value", k: float = 1.5) -> DataFrame:
     """Rows beyond k interquartile ranges of the exact, interpolated quartiles; none for fewer than 4 rows."""
-    s = log.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.count(value).alias("_n"))
+    s = log.agg(F.count(value).alias("_n")).crossJoin(quantiles(log, value, [0.25, 0.75]).withColumnRenamed("quantiles", "_q"))
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     x = F.col(value)
     return log.crossJoin(F.broadcast(s)).where((F.col("_n") >= 4) & ((x < lo - k * (hi - lo)) | (x > hi + k * (hi - lo)))).drop("_q", "_n")
@@ -45,9 +94,10 @@ def rolling(log: DataFrame, keys: list[str], order: list[str], value: str = "val
 
 def profile(log: DataFrame, value: str = "value", by: list[str] = ()) -> DataFrame:
     """Mean, median, population deviation, 95th and 99th percentile, exact."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    s = log.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p.alias("_p"))
-    return s.select(*by, "n", "mean", "std", F.col("_p")[0].alias("median"), F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99"))
+    s = log.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    s = _beside(s, quantiles(log, value, [0.5, 0.95, 0.99], by), list(by), "left")
+    p = F.col("quantiles")
+    return s.select(*by, "n", "mean", "std", p[0].alias("median"), p[1].alias("p95"), p[2].alias("p99"))
 
 
 def user_profiles(log: DataFrame, least: int = 5, top: int = 3) -> DataFrame:

@@ -1,12 +1,14 @@
 """Link graphs: PageRank, HITS, metrics, label propagation, modularity, paths.
 
 Graphs are edge tables (src, dst, weight). Iterations are joins and aggregates; every few rounds the
-ranks are cut off from their lineage with ``checkpoint()``, which survives lost executors. Edges
+ranks are cut off from their lineage by a table in the shared folder, which survives lost executors. Edges
 are partitioned by source once and keep that partitioning over all rounds.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,18 @@ from trawl.session import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` by a reliable checkpoint in spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """``df`` written to the shared folder and read again.
+
+    A checkpoint would keep the estimated sizes of the plan it cuts off; where a round joins two
+    tables made of the last one's, these square every round, to numbers of millions of digits.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` by a reliable checkpoint in the shared folder, which keeps its partitioning."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
@@ -38,7 +51,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, eps: flo
     if not n:
         return v.withColumn("rank", F.lit(1.0))
     out = edges.groupBy("src").agg((F.sum("weight") if normalised else F.count(F.lit(1))).alias("out"))
-    e = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")).repartition("src"))
+    e = kept(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")).repartition("src"))
     if teleport is None:
         base = v.withColumn("bias", F.lit(1.0 / n))
     else:
@@ -60,8 +73,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, eps: flo
     return rank
 
 
-def hits(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, hub, authority), each of Euclidean norm 1."""
+def hits(edges: DataFrame, rounds: int = 10, eps: float = 0.0) -> DataFrame:
+    """(id, hub, authority), each of Euclidean norm 1, of the last round or the first that moves no more than ``eps`` in all."""
     e = cut(edges.select("src", "dst").distinct())
     v = vertices(e)
     state = v.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"))
@@ -74,7 +87,12 @@ def hits(edges: DataFrame, rounds: int = 10) -> DataFrame:
         h = v.join(h, v["id"] == h["src"], "left").select("id", F.coalesce("h", F.lit(0.0)).alias("h"))
         nh = h.agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("norm"))
         h = h.crossJoin(F.broadcast(nh)).select("id", F.when(F.col("norm") > 0, F.col("h") / F.col("norm")).otherwise(0.0).alias("hub"))
-        state = cut(h.join(a, "id"))
+        new = cut(h.join(a, "id"))
+        moved = F.sum(F.abs(F.col("hub") - F.col("h0")) + F.abs(F.col("authority") - F.col("a0")))
+        old = state.withColumnsRenamed({"hub": "h0", "authority": "a0"})
+        state = new
+        if eps and (new.join(old, "id").agg(moved).first()[0] or 0.0) <= eps:
+            break
     return state
 
 
@@ -130,7 +148,7 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     label = cut(vertices(edges).select("id", F.col("id").alias("label")))
     for _ in range(rounds):
         n = both.join(label, both["dst"] == label["id"]).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = n.groupBy("src").agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("l"))).alias("new"))
+        best = n.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("new"))
         new = cut(label.join(best, label["id"] == best["src"], "left").select("id", F.coalesce("new", "label").alias("label")))
         changed = new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
         label = new
@@ -198,7 +216,7 @@ def local_moves(edges: DataFrame, rounds: int = 8) -> DataFrame:
         c = near.join(total, "label").join(own, "id").crossJoin(F.broadcast(m2))
         t = F.col("total") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
         c = c.withColumn("gain", F.round(F.col("w") - F.col("k") * t / F.col("m2"), 9))
-        best = c.groupBy("id").agg(F.max_by("label", F.struct("gain", (-F.col("label")).alias("l"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
+        best = c.groupBy("id").agg(F.min_by("label", F.struct(-F.col("gain"), "label")).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
         moved = label.join(best, "id", "left")
         go = (F.col("gain") > F.coalesce("stay", F.lit(0.0))) & (F.col("to") > F.col("label") if i % 2 else F.col("to") < F.col("label"))
         new = cut(moved.select("id", "k", F.when(go, F.col("to")).otherwise(F.col("label")).alias("label"), F.coalesce(go, F.lit(False)).alias("moved")))
@@ -210,6 +228,41 @@ def local_moves(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return label.select("id", "label")
 
 
+def annealed(edges: DataFrame, rounds: int = 30, heat: float = 0.01, cooling: float = 0.85, seed: int = 7) -> DataFrame:
+    """(id, label) of the greatest modularity met while cooling from ``heat``.
+
+    In a round each vertex of a random half draws one neighbouring community and goes there if that
+    gains modularity, or else with probability exp(gain / heat); draws are hashes of (id, round, seed).
+    """
+    both = edges.where("src <> dst").select("src", "dst", "weight")
+    both = cut(both.union(both.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    k = both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    m2 = k.agg(F.sum("k")).first()[0]
+    label = best = cut(k.select("id", "k", F.col("id").alias("label")))
+    if not m2:
+        return label.select("id", "label")
+    top = modularity(edges, label).first()[0]
+    for i in range(rounds):
+        draw = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed * 1009 + i)), F.lit(1 << 20)) / (1 << 20)  # noqa: B023, E731
+        total = label.groupBy("label").agg(F.sum("k").alias("total"))
+        near = both.join(label.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
+        c = near.join(total, "label").join(label.select("id", "k", F.col("label").alias("own")), "id")
+        t = F.col("total") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
+        c = c.withColumn("gain", F.col("w") - F.col("k") * t / m2)
+        other = F.when(F.col("label") != F.col("own"), F.struct(draw("id", "label").alias("d"), "label", "gain"))
+        stay = label.withColumnRenamed("label", "own").join(total.withColumnRenamed("label", "own"), "own").select("id", (-F.col("k") * (F.col("total") - F.col("k")) / m2).alias("alone"))
+        c = c.groupBy("id").agg(F.min(other).alias("to"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay")).join(stay, "id")
+        gain = 2 * (F.col("to.gain") - F.coalesce("stay", "alone")) / m2
+        go = (draw("id", F.lit("half")) < 0.5) & ((gain > 0) | (draw("id", F.lit("heat")) < F.exp(gain / heat)))
+        to = c.where(F.col("to").isNotNull() & go).select("id", F.col("to.label").alias("new"))
+        label = cut(label.join(to, "id", "left").select("id", "k", F.coalesce("new", "label").alias("label")))
+        now = modularity(edges, label).first()[0]
+        if now > top:
+            best, top = label, now
+        heat *= cooling
+    return best.select("id", "label")
+
+
 def added(pages: DataFrame, links: DataFrame, more: DataFrame) -> DataFrame:
     """``links`` (src, dst, weight) with ``more``, of which only those between known pages (id) are kept; the first of a pair stands."""
     both = links.withColumn("_n", F.lit(0)).unionByName(more.withColumn("_n", F.lit(1)))

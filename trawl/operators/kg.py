@@ -36,20 +36,29 @@ def char_similarity(a: Column, b: Column) -> Column:
 def linked(mentions: DataFrame, known: DataFrame, least: float = 0.8) -> DataFrame:
     """(name, type, entity_id, how) of mentions (name, type): exact by lower case, else the most similar above ``least``.
 
-    Similarity is that of the sets of characters, counted by a join on type and character. There are
-    few characters, so this suits a set of known entities of moderate size.
+    Similarity is that of the sets of characters. Names of equal sets are one class; of each class
+    only its rarest characters are joined, as many as a pair above ``least`` can't do without, and
+    only with sets of a size that may match. Ties go to the least entity_id.
     """
     m = mentions.select("name", "type").distinct()
     exact = m.withColumn("k", F.lower("name")).join(known.select(F.lower("name").alias("k"), "type", "entity_id"), ["k", "type"])
     exact = exact.groupBy("name", "type").agg(F.min("entity_id").alias("entity_id")).withColumn("how", F.lit("exact"))
-    rest = m.join(exact, ["name", "type"], "left_anti")
-    chars = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), ""), lambda x: x != ""))
-    a = rest.select("name", "type", F.size(chars(F.col("name"))).alias("na"), F.explode(chars(F.col("name"))).alias("c"))
-    b = known.select("entity_id", "type", F.size(chars(F.col("name"))).alias("nb"), F.explode(chars(F.col("name"))).alias("c"))
-    s = a.join(b, ["type", "c"]).groupBy("name", "type", "entity_id", "na", "nb").agg(F.count(F.lit(1)).alias("x"))
-    s = s.withColumn("s", F.col("x") / (F.col("na") + F.col("nb") - F.col("x"))).where(F.col("s") > least)
-    best = s.withColumn("_n", F.row_number().over(W.partitionBy("name", "type").orderBy(F.desc("s"), "entity_id"))).where("_n = 1")
-    return exact.unionByName(best.select("name", "type", "entity_id", F.lit("fuzzy").alias("how")))
+    chars = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("name"), ""), lambda x: x != "")))
+    rest = m.join(exact, ["name", "type"], "left_anti").select("name", "type", chars.alias("x"))
+    a = rest.select("type", "x").distinct()
+    b = known.select("type", chars.alias("y"), "entity_id").groupBy("type", "y").agg(F.min("entity_id").alias("entity_id"))
+    df = b.select("type", F.explode("y").alias("c")).groupBy("type", "c").agg(F.count(F.lit(1)).alias("df"))
+
+    def rarest(sets: DataFrame, x: str) -> DataFrame:
+        place = F.row_number().over(W.partitionBy("type", x).orderBy(F.coalesce("df", F.lit(0)), "c"))
+        each = sets.withColumn("c", F.explode(x)).join(df, ["type", "c"], "left").withColumn("k", place)
+        return each.where(F.col("k") <= F.size(x) - F.ceil(F.size(x) * least - 1e-9) + 1).drop("k", "df")
+
+    met = rarest(a, "x").join(rarest(b, "y"), ["type", "c"]).where((F.size("x") >= least * F.size("y") - 1e-9) & (F.size("y") >= least * F.size("x") - 1e-9))
+    met = met.select("type", "x", "y", "entity_id").distinct()
+    s = met.withColumn("s", F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).where(F.col("s") > least)
+    best = s.groupBy("type", "x").agg(F.min_by("entity_id", F.struct(-F.col("s"), "entity_id")).alias("entity_id"))
+    return exact.unionByName(rest.join(best, ["type", "x"]).select("name", "type", "entity_id", F.lit("fuzzy").alias("how")))
 
 
 def search(known: DataFrame, text: str, most: int = 10) -> DataFrame:

@@ -100,16 +100,31 @@ def category_diversity(results: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).agg(F.when(F.count(F.lit(1)) > 1, -F.sum(p * F.log2(p)) / F.log2(F.count(F.lit(1)))).otherwise(0.0).alias("diversity"))
 
 
+def _word_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, words, key): words of a text in order of value, and their hash."""
+    words = F.array_sort(T.words(F.regexp_replace("text", r"[^\w\s]", "")))
+    return docs.select("doc_id", words.alias("words")).withColumn("key", F.sha2(F.array_join("words", " "), 256))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every document: the least id of those with the same words."""
+    w = _word_classes(docs).select("doc_id", "key")
+    return w.join(w.groupBy("key").agg(F.min("doc_id").alias("class_id")), "key").select("doc_id", "class_id")
+
+
 def tfidf_cosine(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, cosine) of documents whose smoothed, normalised TF-IDF vectors are that near.
 
-    An inverted join with prefix filtering: in order of rising document frequency, the terms whose
-    remaining norm is below ``least`` can't alone make a pair near, so only the terms before them
-    are joined, and the rarest common term of a near pair is among those of both.
+    Documents of the same words are one class with one vector; pairs are between classes, by their
+    least ids, and ``copies`` has the members. An inverted join with prefix filtering: in order of
+    rising document frequency, the terms whose remaining norm is below ``least`` can't alone make a
+    pair near, so only the terms before them are joined, and the rarest common term of a near pair
+    is among those of both.
     """
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    tf = docs.select("doc_id", F.explode(T.words(F.regexp_replace("text", r"[^\w\s]", ""))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    one = _word_classes(docs).groupBy("key").agg(F.min(F.struct("doc_id", "words")).alias("d"), F.count(F.lit(1)).alias("same"))
+    tf = one.select("d.doc_id", "same", F.explode("d.words").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("same").alias("same"))
+    df = tf.groupBy("term").agg(F.sum("same").alias("df"))
     w = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id"))))
     left = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("term")))
@@ -122,13 +137,18 @@ def tfidf_cosine(docs: DataFrame, least: float = 0.8) -> DataFrame:
     return c.where(F.col("cosine") >= least)
 
 
-def greedy_representatives(scored: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows without a near row of higher rank: (score desc, doc_id) order, near pairs given."""
+def greedy_representatives(scored: DataFrame, pairs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Rows without a near row of higher rank: (score desc, doc_id) order, near pairs given.
+
+    With ``members`` (doc_id, class_id), pairs are of classes, whose rows are all near each other.
+    """
     s = scored.select("doc_id", "score")
+    s = s.withColumn("class_id", F.col("doc_id")) if members is None else s.join(members, "doc_id")
+    best = s.groupBy("class_id").agg(F.min(F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("s"), "doc_id")).alias("best"))
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    better = both.join(s.withColumnsRenamed({"doc_id": "a", "score": "sa"}), "a").join(s.withColumnsRenamed({"doc_id": "b", "score": "sb"}), "b")
-    lose = better.where("sb > sa OR (sb = sa AND b < a)").select(F.col("a").alias("doc_id")).distinct()
-    return scored.join(lose, "doc_id", "left_anti")
+    side = lambda i: best.select(F.col("class_id").alias(i), F.col("best").alias(f"best_{i}"))
+    lose = both.join(side("a"), "a").join(side("b"), "b").where("best_b < best_a").select(F.col("a").alias("class_id")).distinct()
+    return scored.join(best.join(lose, "class_id", "left_anti").select("best.doc_id"), "doc_id", "left_semi")
 
 
 def term_ratio(query: Column, content: Column) -> Column:

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("search", "text", "relational", "events", "graphs", "vectors", "search_more", "stores", "scoring", "streams", "links", "inventory")
+MODULES = ("search", "text", "relational", "events", "graphs", "vectors", "search_more", "stores", "scoring", "streams", "links", "inventory", "web")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

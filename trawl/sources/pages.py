@@ -45,6 +45,50 @@ def json_ld(html: Column) -> Column:
     return F.array_join(F.regexp_extract_all(html, F.lit(JSON_LD), 1), "\n")
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """A quoted attribute of an opening tag; empty if it has none."""
+    return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']([^"']*)["']""", 1)
+
+
+def _elements(html: Column, tag: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tag})(?:\s[^>]*)?>(.*?)</(?:{tag})>"), group)
+
+
+def tables(html: Column) -> Column:
+    """Tables as arrays of rows of cell texts; a table within a table ends the outer one."""
+    row = lambda r: F.transform(_elements(r, "td|th"), tag_free)
+    return F.transform(_elements(html, "table"), lambda t: F.transform(_elements(t, "tr"), row))
+
+
+def forms(html: Column) -> Column:
+    """Forms as (action, method, fields of name and type); get and text where nothing is said."""
+    kind = lambda i: F.when(attribute(i, "type") != "", F.lower(attribute(i, "type"))).when(i.rlike("(?i)^<input"), "text").otherwise(F.lower(F.regexp_extract(i, r"^<(\w+)", 1)))
+    fields = lambda f: F.transform(F.regexp_extract_all(f, F.lit(r"(?is)<(?:input|select|textarea)[\s>][^>]*>?"), 0), lambda i: F.struct(attribute(i, "name").alias("name"), kind(i).alias("type")))
+    method = lambda f: F.when(F.lower(attribute(F.regexp_extract(f, r"(?is)^<form[^>]*>", 0), "method")) == "post", "post").otherwise("get")
+    one = lambda f: F.struct(attribute(F.regexp_extract(f, r"(?is)^<form[^>]*>", 0), "action").alias("action"), method(f).alias("method"), fields(f).alias("fields"))
+    return F.transform(_elements(html, "form", 0), one)
+
+
+def images(html: Column) -> Column:
+    """Images with a source as (src, alt, title, width, height); sizes null where they are no numbers."""
+    size = lambda i, n: F.when(attribute(i, n).rlike(r"^\d{1,9}$"), attribute(i, n)).cast("int")
+    one = lambda i: F.struct(attribute(i, "src").alias("src"), attribute(i, "alt").alias("alt"), attribute(i, "title").alias("title"), size(i, "width").alias("width"), size(i, "height").alias("height"))
+    return F.transform(F.regexp_extract_all(html, F.lit(IMAGE), 0), one)
+
+
+def scripts(html: Column) -> Column:
+    """Sources of scripts, in order; empty for one in the page."""
+    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*>"), 0), lambda s: attribute(s, "src"))
+
+
+def metadata(html: Column) -> Column:
+    """Entries (name or property in lower case, content) of meta tags that have both, in order."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), 0)
+    name = lambda t: F.when(attribute(t, "name") != "", attribute(t, "name")).otherwise(attribute(t, "property"))
+    both = F.transform(tags, lambda t: F.struct(F.lower(name(t)).alias("name"), attribute(t, "content").alias("content")))
+    return F.filter(both, lambda m: (m["name"] != "") & (m["content"] != ""))
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
