@@ -19,13 +19,14 @@ from trawl.llm.common import Powers, free, pieces, spread, staged, word_hashes,
 from trawl.llm.winnow import segments
 
 WINDOW = 50
-SENT = 1_000_000  # segments that a task remembers to have sent
+SENT = 300_000  # segments that a task remembers to have sent
+PASS_BYTES = 400_000  # of text at once: a byte takes some 80 bytes of temporary arrays
 OUT = ("n_words", "n_removed", "kept_text")
 
 
 def _segmented(batches, window, gram):
     powers = Powers()
-    for rows, data, off in pieces(batches):
+    for rows, data, off in pieces(batches, most=PASS_BYTES):
         starts, ends, first = words_of(data, off)
         codes = word_hashes(data, starts, ends, powers)
         yield rows, segments(codes, first, window, gram, powers), powers
@@ -117,7 +118,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, width_bits: int = ske
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_words long", "n_removed long", "kept_text string"])
 
     def cut(batches):
-        for rows, data, off in pieces(batches):
+        for rows, data, off in pieces(batches, most=PASS_BYTES):
             starts, ends, first = words_of(data, off)
             ranges = rows.column(rows.schema.get_field_index(held))
             # +1 where a covered run starts, -1 past its end, summed over the words
