@@ -39,6 +39,16 @@ def test_knowledge_graph(spark):
     assert [r.name for r in K.search(known, "curie").collect()] == ["Marie Curie"]
 
 
+def test_chains_of_any_length(spark):
+    n = 14  # links, more than ten rounds reach
+    e = spark.range(n + 1).select(F.concat(F.lit("p:"), F.col("id").cast("string")).alias("key"), "id")
+    d = e.where("id > 0").select("key", F.concat(F.lit("p:"), (F.col("id") - 1).cast("string")).alias("on"))
+    d = d.union(spark.createDataFrame([("p:3", "p:9")], "key string, on string"))  # a circle
+    assert {r.key for r in S.invalidated(e.select("key"), d, ["p:1"]).collect()} == {f"p:{i}" for i in range(1, n + 1)}
+    chain = spark.range(n).select(F.col("id").alias("subject"), (F.col("id") + 1).alias("object"), F.lit("is").alias("predicate"))
+    assert K.inferred(chain, "is").count() == n * (n + 1) // 2
+
+
 def test_formats(spark, tmp_path):
     rss = "<rss><channel><item><title>A</title><link>u</link></item></channel></rss>"
     atom = '<feed><entry><title>B</title><link href="v"/></entry></feed>'

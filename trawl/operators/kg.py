@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,13 +68,13 @@ def search(known: DataFrame, text: str, most: int = 10) -> DataFrame:
     return known.where(F.contains(F.lower("name"), F.lit(text.lower()))).orderBy(F.desc("confidence"), "name").limit(most)
 
 
-def inferred(facts: DataFrame, predicate: str, rounds: int = 10) -> DataFrame:
-    """(subject, object): the transitive closure of a predicate, by joins until nothing is new."""
+def inferred(facts: DataFrame, predicate: str, rounds: int | None = None) -> DataFrame:
+    """(subject, object): the transitive closure of a predicate, by joins until nothing is new, or in ``rounds`` at most."""
     from trawl.operators.graph import cut
 
     base = cut(facts.where(F.col("predicate") == predicate).select("subject", "object").distinct())
     all_ = front = base
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         step = front.join(base.select(F.col("subject").alias("object"), F.col("object").alias("to")), "object").select("subject", F.col("to").alias("object")).distinct()
         front = cut(step.join(all_, ["subject", "object"], "left_anti"))
         if not front.limit(1).count():

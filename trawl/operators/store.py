@@ -136,15 +136,24 @@ def hit_rate(log: DataFrame, *by: str) -> DataFrame:
 
 
 def invalidated(entries: DataFrame, depends: DataFrame, include: list[str], now: Column | None = None) -> DataFrame:
-    """Keys to drop: those that match a pattern, those expired by ``now``, and all that depends on them (key, on)."""
-    from trawl.operators.kg import inferred
+    """Keys to drop: those that match a pattern, those expired by ``now``, and all that depends on them (key, on).
+
+    Rounds go out from the first of these until nothing is new, however long the chains are.
+    """
+    from trawl.operators.graph import cut
 
     hit = glob(F.col("key"), include)
     if now is not None:
         hit = hit | F.coalesce(F.col("expires") <= now, F.lit(False))
-    first = entries.where(hit).select("key")
-    closure = inferred(depends.select(F.col("on").alias("subject"), F.col("key").alias("object"), F.lit("d").alias("predicate")), "d")
-    return first.union(closure.join(first, F.col("subject") == F.col("key"), "left_semi").select("object")).distinct().join(entries.select("key").distinct(), "key", "left_semi")
+    on = cut(depends.select("on", "key"))
+    seen = front = cut(entries.where(hit).select("key").distinct())
+    while True:
+        step = on.join(front.select(F.col("key").alias("on")), "on", "left_semi").select("key").distinct()
+        front = cut(step.join(seen, "key", "left_anti"))
+        if not front.limit(1).count():
+            break
+        seen = cut(seen.union(front))
+    return seen.join(entries.select("key").distinct(), "key", "left_semi")
 
 
 def breaker(calls: DataFrame, now: Column, failures: int = 5, seconds: int = 60) -> DataFrame:
