@@ -51,6 +51,15 @@ def test_deduplication(spark, feed):
     assert S.drain(S.deduplicated(twice, ["event_id"])).count() == batch(spark).count()
 
 
+def test_results_are_files_and_not_kept_by_the_driver(spark, feed, tmp_path):
+    s = S.events_stream(spark, feed)
+    for got in (S.drain(S.deduplicated(s.union(s), ["event_id"])), S.drain(S.sessions(s), "complete")):
+        assert got.inputFiles() and got.count()
+    (tmp_path / "none").mkdir()
+    nothing = S.drain(S.deduplicated(S.events_stream(spark, str(tmp_path / "none")), ["event_id"]))
+    assert nothing.count() == 0 and nothing.columns == batch(spark).columns
+
+
 def test_static_baseline_and_cooldown(spark, feed):
     base = A.profile(A.query_log(batch(spark)))
     s = S.checked(S.events_stream(spark, feed), base)

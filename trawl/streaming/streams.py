@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from trawl.session import shared_dir
 
 
-def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """The event log as a file stream; ts becomes a timestamp, as watermarks need one."""
+def events_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """The event log as a file stream, None for all files at once; ts becomes a timestamp, as watermarks need one."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    raw = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        raw = raw.option("maxFilesPerTrigger", files_per_trigger)
+    return raw.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -91,9 +93,17 @@ def index_into(docs: DataFrame, path: str, checkpoint: str):
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a streaming query gives for its present input."""
+    """All that a streaming query gives for its present input, written by the executors to the shared folder."""
     spark = df.sparkSession
-    name = "t" + uuid.uuid4().hex
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/stream-{name}").trigger(availableNow=True).start()
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    given: dict[int, str] = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/{number}")
+        if mode == "complete":  # it holds what the batches before it gave
+            given.clear()
+        given[number] = f"{where}/{number}"
+
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(*given.values()) if given else spark.createDataFrame([], df.schema)
