@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawl.operators import anomaly as A
+from trawl.plans import registry
 from trawl.streaming import streams as S
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +52,21 @@ def test_deduplication(spark, feed):
     assert S.drain(S.deduplicated(twice, ["event_id"])).count() == batch(spark).count()
 
 
+def test_queries_lose_no_rows_of_files_out_of_order(spark, tmp_path):
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    old = e.withColumns({"event_id": F.col("event_id") + 10**6, "ts": F.expr("ts - INTERVAL 100 DAYS")})
+    where = str(tmp_path / "events.parquet")
+    for rows, at in ((e.where("event_id % 2 = 0"), 1_000_000), (e.where("event_id % 2 = 1"), 1_000_100), (old, 1_000_200)):  # the oldest rows come last
+        rows.coalesce(1).write.mode("append").parquet(where)
+        for f in os.listdir(where):
+            if f.endswith(".parquet") and os.path.getmtime(f"{where}/{f}") > 2_000_000:
+                os.utime(f"{where}/{f}", (at, at))
+    ids = [r.event_id for r in registry.queries()["stream_deduplicated"](spark, str(tmp_path)).collect()]
+    assert len(ids) == len(set(ids)) == 2 * e.count()
+    got = registry.queries()["stream_sessions"](spark, str(tmp_path))
+    assert got.agg(F.sum("n")).first()[0] == 2 * e.count() and got.count() == 2 * registry.queries()["stream_sessions"](spark, SF).count()
+
+
 def test_results_are_files_and_not_kept_by_the_driver(spark, feed, tmp_path):
     s = S.events_stream(spark, feed)
     for got in (S.drain(S.deduplicated(s.union(s), ["event_id"])), S.drain(S.sessions(s), "complete")):

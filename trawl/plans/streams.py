@@ -9,7 +9,9 @@ from trawl.streaming import streams as S
 
 
 def feed(spark, sf_dir):
-    return S.events_stream(spark, f"{sf_dir}/event[s].parquet")  # a pattern: the table may be a file or a folder
+    # A pattern: the table may be a file or a folder. Its files, in whatever order of time, come as one batch:
+    # no row is behind a watermark that others have moved, and complete results are written once.
+    return S.events_stream(spark, f"{sf_dir}/event[s].parquet", None)
 
 
 @query("stream_tumbling", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
