@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,42 @@ def test_vector_metrics_and_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
     h = one(spark, V.hashed_embedding(F.array(F.lit("a"), F.lit("b"))))
     assert len(h) == 64 and math.isclose(sum(x * x for x in h), 1.0)
+
+
+def test_fuzzy_pairs_equal_brute_force(spark):
+    rng = random.Random(5)
+    keys = {"".join(rng.choice("ab") for _ in range(n)) for n in (1, 9, 10, 11, 19, 20, 21, 22) for _ in range(12)}
+    for n in (10, 19, 22, 27, 29, 30, 33, 41):
+        base = [rng.choice("abcdé") for _ in range(n)]
+        for _ in range(12):
+            k = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(k))
+                k[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "é", "aa"])
+            keys.add("".join(k))
+    keys = sorted(keys)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for a in range(len(keys)):
+        for b in range(a + 1, len(keys)):
+            r = 1 - distance(keys[a], keys[b]) / max(len(keys[a]), len(keys[b]))
+            if r >= 0.9 - 1e-9:
+                want[a, b] = round(r, 9)
+    got = R.fuzzy_pairs(spark.createDataFrame(list(enumerate(keys)), "id int, name string"), "name").collect()
+    assert len(got) == len(want) > 50 and {(r.a, r.b): round(r.ratio, 9) for r in got} == want
+
+
+def test_fuzzy_pairs_do_not_meet_on_what_all_keys_share(spark):
+    n = 12_000  # pairs that share a piece would be over n * n
+    keys = spark.range(n).select("id", F.concat(F.lit("omer#000"), F.lpad((F.col("id") * 7919 % 10**6).cast("string"), 6, "0"), F.lit("FURNITURE")).alias("name"))
+    began = time.monotonic()
+    assert R.fuzzy_pairs(keys, "name").count() > n
+    assert time.monotonic() - began < 45

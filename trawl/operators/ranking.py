@@ -192,13 +192,30 @@ def semantic_pairs(results: DataFrame, least: float = 0.8) -> DataFrame:
 def fuzzy_pairs(results: DataFrame, key: str, least: float = 0.9) -> DataFrame:
     """(a, b, ratio) of different keys (of ids a < b) whose edit distance leaves ``least`` of the longer one.
 
-    Of two keys d edits apart, one of d + 1 equal pieces of the shorter stands unchanged in the
-    other, shifted by d at most: pairs meet on pieces.
+    Two keys up to two edits apart become equal when each loses as many characters at most: they
+    meet on what is left, however much the keys of a table have in common. Of two keys d > 2 edits
+    apart, one of d + 1 equal pieces of the shorter stands unchanged in the other, shifted by d at
+    most: these meet on pieces.
     """
     keys = results.where(F.char_length(key) > 0).groupBy(F.col(key).alias("s")).agg(F.min("id").alias("id")).withColumn("n", F.char_length("s"))
     edits = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
+
+    # characters i and j > i are lost, or one (j = i), or none (0); of a run of equal characters the first ones
+    width = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a key makes hundreds of rows: no few tasks may take all keys
+    few = keys.withColumn("d", edits(F.col("n"))).where("d <= 2").repartition(width, "id")
+    new = lambda k: F.substring("s", k, 1) != F.substring("s", k - 1, 1)
+    one = few.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("d") > 0, F.col("n")).otherwise(0)))).where((F.col("i") <= 1) | new(F.col("i")))
+    two = one.withColumn("j", F.explode(F.sequence("i", F.when((F.col("d") > 1) & (F.col("i") > 0), F.col("n")).otherwise(F.col("i")))))
+    two = two.where((F.col("j") <= F.col("i") + 1) | new(F.col("j")))
+    i, j = F.col("i"), F.col("j")
+    left = F.concat(F.substring("s", F.lit(1), i - 1), F.substring("s", i + 1, j - i - 1), F.substring("s", j + 1, F.col("n")))
+    left = two.select("id", F.xxhash64(left).alias("h"))
+    near = left.select(F.col("id").alias("x"), "h").join(left.select(F.col("id").alias("y"), "h"), "h").where("x < y").select("x", "y").distinct()
+    text = keys.select("id", "s", "n")
+    near = near.join(text.toDF("x", "sx", "nx"), "x").join(text.toDF("y", "sy", "ny"), "y").withColumn("m", F.greatest("nx", "ny")).where(edits(F.col("m")) <= 2)
+
     # lengths of a pair differ by the edits of the longer at most: every length that may be the shorter's partner
-    small = keys.withColumn("m", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / least + 1e-9).cast("int")))).withColumn("d", edits(F.col("m"))).where("m - n <= d")
+    small = keys.withColumn("m", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / least + 1e-9).cast("int")))).withColumn("d", edits(F.col("m"))).where("d > 2 AND m - n <= d")
     begin = lambda i: F.floor(i * F.col("n") / (F.col("d") + 1)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.struct(i.alias("i"), F.substring("s", begin(i) + 1, begin(i + 1) - begin(i)).alias("w")))
     small = small.select(F.col("id").alias("x"), F.col("s").alias("sx"), "n", "m", "d", F.explode(cut).alias("p")).select("x", "sx", "n", "m", "d", "p.*")
@@ -206,7 +223,9 @@ def fuzzy_pairs(results: DataFrame, key: str, least: float = 0.9) -> DataFrame:
     big = keys.select(F.col("id").alias("y"), F.col("s").alias("sy"), F.col("n").alias("m")).join(sizes, "m")
     at = F.transform(F.sequence(F.lit(0), F.col("d")), lambda i: F.transform(F.sequence(-F.col("d"), F.col("d")), lambda o: F.struct(i.alias("i"), F.substring("sy", F.greatest(F.lit(1), begin(i) + 1 + o), begin(i + 1) - begin(i)).alias("w"))))
     big = big.select("y", "sy", "n", "m", F.explode(F.array_distinct(F.flatten(at))).alias("p")).select("y", "sy", "n", "m", "p.*")
-    met = small.join(big, ["n", "m", "i", "w"]).where("sx <> sy").select("x", "sx", "y", "sy", "m").distinct()
+    far = small.join(big, ["n", "m", "i", "w"]).where("sx <> sy AND x <> y")
+
+    met = near.select("x", "sx", "y", "sy", "m").unionAll(far.select("x", "sx", "y", "sy", "m"))
     ratio = met.withColumn("ratio", 1 - F.levenshtein("sx", "sy") / F.col("m")).where(F.col("ratio") >= least - 1e-9)
     return ratio.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio").distinct()
 
